@@ -130,3 +130,20 @@ def unplanes(raw, n: int, width: int, at: int = 0) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
     return out.view(U).reshape(n)
+
+
+def pieces(batch, column: int, size: int = 1 << 20):
+    """Slices of the batch with about size bytes in a text column, one row at least."""
+    n = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 1)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def total(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of x[first:end]."""
+    c = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=c[1:])
+    return c[end] - c[first]

@@ -19,3 +19,45 @@ def chunked(docs: DataFrame, columns: dict, key, chunks: int) -> DataFrame:
 def counts(total: int, chunk_bytes: int, bucket_bytes: int) -> tuple[int, int]:
     """Chunks and buckets for so many bytes of text."""
     return max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
+
+
+def shared_folder(spark) -> str:
+    """The folder that all executors share; one is set up where the session names none."""
+    import tempfile
+
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not told and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return told or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and read from the shared folder from now on."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def summed(df: DataFrame, count, size: int):
+    """The sum of count(batch), a vector of size numbers, over all rows; df's first column is a text. Each task sums up
+    its own rows, and the tasks' vectors are added in 8 parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .arrays import pieces
+
+    def each(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for part in pieces(batch, 0):
+                total += count(part)
+        cut = np.array_split(total, 8)
+        yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["part", "total"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table["total"].to_pylist())
+        return pa.table({"part": pa.array(table["part"].to_pylist()[:1], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, total binary"
+    rows = df.mapInArrow(each, schema).groupBy("part").applyInArrow(add, schema).collect()
+    return np.concatenate([np.frombuffer(r.total, np.int64) for r in sorted(rows)]) if rows else np.zeros(size, np.int64)

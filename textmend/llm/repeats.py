@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +51,16 @@ class Spec:
         return self.k + self.w - 1
 
 
-def find_runs(sym: Callable, n: int, starts: np.ndarray, ends: np.ndarray, k: int, w: int, block: int = 1 << 20) -> dict:
+def find_runs(sym: Callable, n: int, starts: np.ndarray, ends: np.ndarray, k: int, w: int, block: int = 1 << 16) -> dict:
     """Runs of windows with the same anchor inside [start, end) of each document: first window, number of windows, place of
     the anchor in the first window, 48-bit hash of the anchor and 40-bit hash of the context. sym(lo, hi): symbols."""
     W, out = k + w - 1, []
     fits = ends - starts >= W
     gs, ge = starts[fits], ends[fits] - W + 1
     bits = U((block + W).bit_length())
-    for lo in range(0, n, block):
+    low = (U(1) << bits) - U(1)
+    place = np.arange(block + W, dtype=U)
+    for lo in range(0, n, block):  # a block's arrays stay in the processor's cache
         a, b = np.searchsorted(ge, lo, "right"), np.searchsorted(gs, min(lo + block, n), "left")
         to = min(lo + block + W - 1, n)
         m = to - lo
@@ -71,20 +74,24 @@ def find_runs(sym: Callable, n: int, starts: np.ndarray, ends: np.ndarray, k: in
         pw, inv = powers(m + 1)
         total = np.zeros(m + 1, U)
         np.cumsum(sym(lo, to) * pw[:m], out=total[1:])
-        v = mix((total[k:] - total[:-k]) * inv[: m - k + 1])
-        least = (v >> bits << bits) | np.arange(len(v), dtype=U)
+        v = total[k:] - total[:-k]
+        v *= inv[: m - k + 1]
+        v = mix(v)
+        least = v & ~low
+        least |= place[: len(v)]
         have = 1
         while have < w:
             step = min(have, w - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        anchor = (least & ((U(1) << bits) - U(1))).astype(np.int64)
+        least &= low
         first = valid.copy()
-        first[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
+        first[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
         js = np.flatnonzero(first)
-        breaks = np.append(np.flatnonzero(first | ~valid), windows)
+        first |= ~valid
+        breaks = np.append(np.flatnonzero(first), windows)
         nwin = breaks[np.searchsorted(breaks, js, "right")] - js
-        at, size = anchor[js], nwin + W - 1
+        at, size = least[js].astype(np.int64), nwin + W - 1
         ctx = mix(((total[js + size] - total[js]) * inv[js]) ^ mix((at - js).astype(U) * U(1 << 20) + size.astype(U)))
         out.append((js + lo, nwin, at - js, v[at] >> U(16), ctx >> U(24)))
     if not out:
@@ -98,11 +105,11 @@ class Chunk:
 
     def __init__(self, table: pa.Table, spec: Spec):
         self.spec = spec
-        ids = np.array([LAST if x is None else x for x in table["doc_id"].to_pylist()], np.int64)
+        # rows come in any order; the same order each time makes the same runs
+        self.table = table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+        ids = pc.fill_null(table["doc_id"], LAST).to_numpy()
         data, start, end = joined(table["text"])
-        order = np.argsort(ids, kind="stable")
-        self.order, self.ids = order, ids[order]
-        self.data, self.start, self.end = data, start, end  # by the table's rows
+        self.data, self.start, self.end = data, start, end
         if spec.words:
             self.first, self.last = word_spans(data)
             self.values = span_hashes(data, self.first, self.last)
@@ -110,25 +117,28 @@ class Chunk:
             self.hi = np.searchsorted(self.first, end)
             sym, n = (lambda a, b: self.values[a:b]), len(self.first)
         else:
-            table_ = byte_values()
+            values = byte_values()
             self.lo, self.hi = start, end
-            sym, n = (lambda a, b: table_[data[a:b]]), len(data)
-        self.sym = sym
+            sym, n = (lambda a, b: values[data[a:b]]), len(data)
         r = self.runs = find_runs(sym, n, self.lo, self.hi, spec.k, spec.w)
-        self.row = np.searchsorted(self.hi, r["js"], "right")  # a run ends before its document does
-        self.doc = ids[self.row]
-        self.table_ids = ids
+        row = np.searchsorted(self.hi, r["js"], "right")  # a run ends before its document does
+        self.doc = ids[row]
         self._sum_up()
 
     def _sum_up(self) -> None:
         r, spec = self.runs, self.spec
-        bucket = (r["key"] % U(spec.buckets)).astype(np.int64)
-        self.by = by = np.lexsort((self.doc, r["ctx"], r["key"], bucket))
-        key, ctx, doc = r["key"][by], r["ctx"][by], self.doc[by]
-        new = starts_of(key, ctx)
-        g0 = np.flatnonzero(new)
+        self.by = by = np.argsort(r["key"], kind="stable")
+        key = r["key"][by]
+        new = starts_of(key)
+        shared = ~new
+        shared[:-1] |= ~new[1:]
+        some = np.flatnonzero(shared)  # only where an anchor occurs again the order of its runs matters
+        rows = by[some]
+        by[some] = rows[np.lexsort((self.doc[rows], r["ctx"][rows], key[some]))]
+        ctx, doc = r["ctx"][by], self.doc[by]
+        g0 = np.flatnonzero(new | starts_of(ctx))
         g1 = np.append(g0[1:], len(by))[: len(g0)]
-        nkey = starts_of(key[g0])
+        nkey = new[g0]
         ofkey = np.cumsum(nkey) - 1 if len(g0) else g0
         hot = np.bincount(ofkey)[ofkey] > spec.local_hot if len(g0) else np.zeros(0, bool)
         keep = ~hot | nkey
@@ -138,11 +148,11 @@ class Chunk:
         self.e_doc = doc[self.e_run]
         several = doc[e1 - 1] != self.e_doc if spec.first else (e1 - self.e_run) > 1
         self.e_flag = np.where(self.e_hot, 2, several).astype(np.uint8)
+        self.e_bucket = (self.e_key * U(spec.buckets) >> U(48)).astype(np.int64)  # in the order of keys
         # entry of each sorted run
         seen = np.zeros(len(by), np.int64)
         seen[self.e_run] = 1
         self.entry = np.cumsum(seen) - 1
-        self.e_bucket = bucket[by][self.e_run]
 
     def parts(self):
         """Bucket, first and end of its entries."""
@@ -201,7 +211,13 @@ def answer_entries(spec: Spec, table: pa.Table) -> pa.Table:
         n = int(np.frombuffer(raw, np.int32, 1)[0])
         parts.append((unplanes(raw, n, 6, 4), unplanes(raw, n, 5, 4 + 6 * n), unplanes(raw, n, 8, 4 + 11 * n).view(np.int64), np.frombuffer(raw, np.uint8, n, 4 + 19 * n), np.full(n, c), np.arange(n)))
     key, ctx, doc, flag, chunk, index = map(np.concatenate, zip(*parts))
-    by = np.lexsort((chunk, doc, ctx, key))
+    by = np.argsort(key, kind="stable")
+    again = ~starts_of(key[by])
+    again[:-1] |= again[1:]
+    by = by[again | (flag[by] > 0)]  # an anchor that occurs once is done with
+    if not len(by):
+        return blobs([])
+    by = by[np.lexsort((chunk[by], doc[by], ctx[by], key[by]))]
     key, ctx, doc, flag, chunk, index = (x[by] for x in (key, ctx, doc, flag, chunk, index))
     k0 = np.flatnonzero(starts_of(key))
     size = np.diff(np.append(k0, len(key)))
@@ -382,7 +398,7 @@ def covered(chunk: Chunk, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_repeats(docs: DataFrame, id_col: str, text_col: str, spec: Callable, classes: Callable, finish: Callable, schema: str, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
-    """Runs the rounds; finish(chunk, table, firsts, ends) makes the result's rows. spec(buckets) gives the Spec."""
+    """Runs the rounds; finish(chunk, firsts, ends) makes the result's rows. spec(buckets) gives the Spec."""
     chunks, buckets = counts(sized(docs, text_col), chunk_bytes, bucket_bytes)
     s = spec(buckets)
     rows = chunked(docs, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}, F.col(id_col), chunks)
@@ -403,7 +419,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, spec: Callable, cl
 
     def five(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, s)
-        return finish(chunk, table, *covered(chunk, replies))
+        return finish(chunk, *covered(chunk, replies))
 
     by_chunk = rows.groupBy("chunk")
     told = by_chunk.applyInArrow(one, blob).groupBy("bucket").applyInArrow(two, blob)

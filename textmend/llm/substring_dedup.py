@@ -88,7 +88,7 @@ def equal_windows(symbols: np.ndarray, first: np.ndarray, segment: np.ndarray, w
 SCHEMA = "doc_id long, n_words long, n_removed long, span_starts array<long>, span_lengths array<long>, kept string"
 
 
-def _finish(chunk: Chunk, table: pa.Table, first: np.ndarray, end: np.ndarray) -> pa.Table:
+def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
     n = len(chunk.first)
     keep = np.ones(n, bool)
     keep[ranges(first, end - first)] = False
@@ -105,7 +105,7 @@ def _finish(chunk: Chunk, table: pa.Table, first: np.ndarray, end: np.ndarray) -
     total = chunk.hi - chunk.lo
     spans = [(first[x:y] - z, end[x:y] - first[x:y]) for x, y, z in zip(a, b, chunk.lo.tolist())]
     return pa.Table.from_arrays(
-        [table["doc_id"].combine_chunks() if isinstance(table["doc_id"], pa.ChunkedArray) else table["doc_id"], pa.array(total), pa.array(total - (hi - lo)), pa.array([x for x, _ in spans], pa.list_(pa.int64())), pa.array([y for _, y in spans], pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())],
+        [chunk.table["doc_id"].combine_chunks() if isinstance(chunk.table["doc_id"], pa.ChunkedArray) else chunk.table["doc_id"], pa.array(total), pa.array(total - (hi - lo)), pa.array([x for x, _ in spans], pa.list_(pa.int64())), pa.array([y for _, y in spans], pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())],
         names=[x.split()[0] for x in SCHEMA.split(", ")],
     )
 

@@ -102,10 +102,10 @@ def equal_windows(text: np.ndarray, first: np.ndarray, segment: np.ndarray, wind
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept binary"
 
 
-def _finish(chunk: Chunk, table: pa.Table, first: np.ndarray, end: np.ndarray) -> pa.Table:
+def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
     out = []
     a, b = np.searchsorted(first, chunk.start).tolist(), np.searchsorted(first, chunk.end).tolist()
-    ids = table["doc_id"].to_pylist()
+    ids = chunk.table["doc_id"].to_pylist()
     for i, (lo, hi) in enumerate(zip(chunk.start.tolist(), chunk.end.tolist())):
         s, e = first[a[i] : b[i]].tolist(), end[a[i] : b[i]].tolist()
         cut = [lo, *(x for pair in zip(s, e) for x in pair), hi]
