@@ -147,3 +147,17 @@ def total(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     c = np.zeros(len(x) + 1, np.int64)
     np.cumsum(x, out=c[1:])
     return c[end] - c[first]
+
+
+def lean() -> None:
+    """Large arrays go back to the system as soon as they are freed; else each of an executor's workers keeps its peak."""
+    if "lean" not in _POWERS:
+        import ctypes
+
+        _POWERS["lean"] = True
+        try:
+            malloc = ctypes.CDLL(None).mallopt
+        except (OSError, AttributeError):  # another C library
+            return
+        malloc(-3, 1 << 22)  # M_MMAP_THRESHOLD
+        malloc(-1, 1 << 24)  # M_TRIM_THRESHOLD

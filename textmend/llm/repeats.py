@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, joined, mix, planes, powers, ranges, span_hashes, starts_of, unplanes, byte_values, word_spans
+from .arrays import U, joined, lean, mix, planes, powers, ranges, span_hashes, starts_of, unplanes, byte_values, word_spans
 from .exchange import chunked, counts, sized
 
 LAST = np.iinfo(np.int64).max
@@ -104,6 +104,7 @@ class Chunk:
     """The texts of a chunk in a fixed order, their runs, and the entries that sum them up."""
 
     def __init__(self, table: pa.Table, spec: Spec):
+        lean()
         self.spec = spec
         # rows come in any order; the same order each time makes the same runs
         self.table = table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
@@ -206,6 +207,7 @@ def blobs(rows: list) -> pa.Table:
 
 def answer_entries(spec: Spec, table: pa.Table) -> pa.Table:
     """For a bucket: which entries are repeated (code 1, with the smallest document), whose text is needed (2) or windows (4)."""
+    lean()
     parts = []
     for c, raw in zip(table["chunk"].to_pylist(), table["payload"].to_pylist()):
         n = int(np.frombuffer(raw, np.int32, 1)[0])
@@ -300,6 +302,7 @@ def send_contexts(spec: Spec, table: pa.Table, replies: pa.Table) -> pa.Table:
 def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
     """For a bucket: which windows of each context are repeated, as bits; for windows dealt out one by one the smallest document.
     classes(symbols, first, segment, window) numbers the windows, equal ones alike."""
+    lean()
     bodies = [pickle.loads(x) for x in table["payload"].to_pylist()]
     numbers = table["chunk"].to_pylist()
     e = {k: np.concatenate([b[k] for b in bodies]) for k in ("seg", "nwin", "off", "doc", "several", "id", "dealt", "size")}

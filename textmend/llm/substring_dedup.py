@@ -110,7 +110,7 @@ def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
     )
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, sampled: int = 24, chunk_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, sampled: int = 24, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """For each row: its id, words, removed words, removed spans (in words) and the words that stay, joined by one space.
 
     A word is removed if a window of that many words covers it whose words also start anywhere else, in the same row or

@@ -115,7 +115,7 @@ def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, sampled: int = 24, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, sampled: int = 24, chunk_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """For each row: its id, bytes, removed bytes, removed spans and the bytes that stay.
 
     A byte is removed if a string of window bytes covers it that also starts in a row with a smaller id. Null texts are
