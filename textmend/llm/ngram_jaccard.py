@@ -1,10 +1,12 @@
 """N-gram Jaccard join: documents whose sets of word shingles are similar are linked, by a token-group matrix.
 
 Equal sets are one class. A class belongs to the group of its rarest shingle, so similar classes mostly share a group.
-Two sets with similarity t share a shingle among the n - ceil(t n) + 1 rarest of each, so these rare shingles are the
-matrix's rows to look at: where one is held by classes of different groups, the classes of the smaller group visit the
-larger. A group keeps the union of its members' shingles; a visitor that shares less than ceil(t n) with the union
-can't be similar to any member, and the group isn't opened for it. Within an opened group, sets are compared exactly.
+Two sets with similarity t share at least m shingles among the n - ceil(t n) + m rarest of each, so these rare shingles
+are the matrix's rows to look at: where one is held by classes of different groups, those of one group visit the other.
+A visitor that shares fewer than m of its rare shingles with the union of a group's isn't sent there, and neither is a
+member that shares fewer with all others. A group that is visited takes the union of its members' whole sets; a visitor
+that shares less than ceil(t n) with the union can't be similar to any member, and the group isn't opened for it. Within
+an opened group, sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -16,16 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, joined, lower_ascii, mix, pieces, planes, powers, ranges, span_hashes, starts_of, unplanes, word_spans
+from .arrays import U, joined, lean, lower_ascii, mix, pieces, planes, powers, ranges, span_hashes, starts_of, unplanes, word_spans
 from .components import components
 from .exchange import checkpointed, chunked, counts, sized, summed
 from .repeats import blobs
 
-SLOTS = 1 << 16
+SLOTS = 1 << 18
+
+
+def at_least(n):
+    """m for a set of n shingles."""
+    return n // 16
+
+
+def told_at_least(n, num: int, den: int):
+    """Rare shingles that a set of n shares with any similar one: m of the smaller set's size."""
+    return np.maximum(1, at_least((num * n + den - 1) // den))
 
 
 def shingle_sets(col, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and hash of each different shingle, in this order."""
+    lean()
     data, start, end = joined(col)
     data = lower_ascii(data)
     first, last = word_spans(data)
@@ -76,10 +89,11 @@ class Sets:
         self.n = n[rows]
         self.token = token[ranges(at[rows], self.n)]
         owner = np.repeat(np.arange(len(rows)), self.n)
-        by = np.lexsort((self.token, rarity[(self.token & U(SLOTS - 1)).astype(np.int64)], owner))
-        self.token = self.token[by]
+        rank = np.minimum(rarity[(self.token & U(SLOTS - 1)).astype(np.int64)], (1 << 24) - 1).astype(U) << U(40) | self.token >> U(24)
+        by = np.argsort(rank, kind="stable")
+        self.token = self.token[by[np.argsort(owner[by].astype(np.uint16) if len(rows) < 1 << 16 else owner[by], kind="stable")]]
         self.at = np.cumsum(self.n) - self.n
-        self.prefix = self.n - (num * self.n + den - 1) // den + 1
+        self.prefix = self.n - (num * self.n + den - 1) // den + np.maximum(1, at_least(self.n))
 
 
 def send_prefixes(make, buckets: int, table: pa.Table) -> pa.Table:
@@ -94,7 +108,7 @@ def send_prefixes(make, buckets: int, table: pa.Table) -> pa.Table:
     cut = np.flatnonzero(starts_of(bucket[by])).tolist() if len(by) else []
     for a, z in zip(cut, [*cut[1:], len(by)]):
         t = by[a:z]
-        rows.append((int(bucket[t[0]]), number, np.int32(len(t)).tobytes() + planes(token[t], 6) + planes(s.number[owner[t]], 8) + planes(group[t] >> U(24), 5) + planes(s.n[owner[t]], 4)))
+        rows.append((int(bucket[t[0]]), number, np.int32(len(t)).tobytes() + planes(token[t], 5) + planes(s.number[owner[t]], 8) + planes(group[t] >> U(32), 4) + planes(s.n[owner[t]], 4)))
     return blobs(rows)
 
 
@@ -104,11 +118,13 @@ def place(group: np.ndarray, depth: np.ndarray, block: np.ndarray) -> np.ndarray
 
 
 def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
-    """For a bucket of shingles: which classes are members (0) and which are visitors (1) of which group's block."""
+    """For a bucket of shingles: which classes are members (0) and which are visitors (1) of which group's block, and by how
+    many shingles; 255 if the block is one of a large group's, whose shingles aren't counted together."""
+    lean()
     parts = []
     for c, raw in zip(table["chunk"].to_pylist(), table["payload"].to_pylist()):
         n = int(np.frombuffer(raw, np.int32, 1)[0])
-        parts.append((unplanes(raw, n, 6, 4), unplanes(raw, n, 8, 4 + 6 * n), unplanes(raw, n, 5, 4 + 14 * n), unplanes(raw, n, 4, 4 + 19 * n).astype(np.int64), np.full(n, c)))
+        parts.append((unplanes(raw, n, 5, 4), unplanes(raw, n, 8, 4 + 5 * n), unplanes(raw, n, 4, 4 + 13 * n), unplanes(raw, n, 4, 4 + 17 * n).astype(np.int64), np.full(n, c)))
     token, number, group, n, chunk = map(np.concatenate, zip(*parts))
     by = np.lexsort((chunk, number, group, token))
     token, number, group, n, chunk = (x[by] for x in (token, number, group, n, chunk))
@@ -140,8 +156,8 @@ def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
         for b in range(1 << int(depth[g])):
             go = rows[block[rows] > b]
             out.append((number[go], np.full(len(go), place(group[go[:1]], depth[g : g + 1], np.array([b]))[0] if len(go) else 0, U), np.ones(len(go), np.int8), chunk[go]))
-    # groups at one token: of each pair, the one with fewer classes visits
-    order = np.lexsort((group[g0], gsize, token[g0]))
+    # groups at one token: of each pair the one that comes first, in the same order at every token, visits
+    order = np.lexsort((group[g0], token[g0]))
     s0 = np.flatnonzero(starts_of(token[g0]))
     tsize = np.diff(np.append(s0, len(g0)))
     rank = np.arange(len(g0)) - np.repeat(s0, tsize)
@@ -170,29 +186,36 @@ def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
     number, where, role, chunk = map(np.concatenate, zip(*out))
     by = np.lexsort((role, where, number, chunk))
     number, where, role, chunk = (x[by] for x in (number, where, role, chunk))
-    new = starts_of(chunk, number, where)
-    number, where, role, chunk = (x[new] for x in (number, where, role, chunk))
+    first = np.flatnonzero(starts_of(chunk, number, where))
+    times = np.diff(np.append(first, len(by)))
+    number, where, role, chunk = (x[first] for x in (number, where, role, chunk))
+    large = np.unique(np.concatenate([np.zeros(0, U), *(place(group[g0[g : g + 1]], depth[g : g + 1], np.array([b])) for g in np.flatnonzero(big).tolist() for b in range(1 << int(depth[g])))]))
+    times = np.where(np.isin(where, large), 255, np.minimum(times, 254)).astype(np.uint8)
     rows = []
     cut = np.flatnonzero(starts_of(chunk)).tolist() if len(chunk) else []
     for a, z in zip(cut, [*cut[1:], len(chunk)]):
-        rows.append((-1, int(chunk[a]), np.int32(z - a).tobytes() + planes(number[a:z], 8) + planes(where[a:z], 8) + role[a:z].tobytes()))
+        rows.append((-1, int(chunk[a]), np.int32(z - a).tobytes() + planes(number[a:z], 8) + planes(where[a:z], 8) + role[a:z].tobytes() + times[a:z].tobytes()))
     return blobs(rows)
 
 
-def send_sets(make, buckets: int, table: pa.Table, replies: pa.Table) -> pa.Table:
+def send_sets(make, num: int, den: int, buckets: int, table: pa.Table, replies: pa.Table) -> pa.Table:
     if not len(table) or not len(replies):
         return blobs([])
     s: Sets = make(table)
     parts = []
     for raw in replies["payload"].to_pylist():
         n = int(np.frombuffer(raw, np.int32, 1)[0])
-        parts.append((unplanes(raw, n, 8, 4), unplanes(raw, n, 8, 4 + 8 * n), np.frombuffer(raw, np.int8, n, 4 + 16 * n)))
-    number, where, role = map(np.concatenate, zip(*parts))
+        parts.append((unplanes(raw, n, 8, 4), unplanes(raw, n, 8, 4 + 8 * n), np.frombuffer(raw, np.int8, n, 4 + 16 * n), np.frombuffer(raw, np.uint8, n, 4 + 17 * n)))
+    number, where, role, times = map(np.concatenate, zip(*parts))
     by = np.lexsort((role, number, where))
-    number, where, role = number[by], where[by], role[by]
-    new = starts_of(where, number)
-    number, where, role = number[new].view(np.int64), where[new], role[new]
+    number, where, role, times = number[by], where[by], role[by], times[by]
+    first = np.flatnonzero(starts_of(where, number))
+    uncounted = np.maximum.reduceat(times, first) == 255
+    times = np.add.reduceat(times.astype(np.int64), first)
+    number, where, role = number[first].view(np.int64), where[first], role[first]
     index = np.searchsorted(s.number, number)
+    enough = uncounted | (times >= told_at_least(s.n[index], num, den))
+    number, where, role, index = (x[enough] for x in (number, where, role, index))
     bucket = (mix(where) % U(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     rows, me = [], table["chunk"][0].as_py()
@@ -201,7 +224,7 @@ def send_sets(make, buckets: int, table: pa.Table, replies: pa.Table) -> pa.Tabl
         t = by[a:z]
         i = index[t]
         tokens = s.token[ranges(s.at[i], s.n[i])]
-        rows.append((int(bucket[t[0]]), me, pickle.dumps((number[t], where[t], role[t], s.n[i].astype(np.uint32), planes(tokens, 6)), 5)))
+        rows.append((int(bucket[t[0]]), me, pickle.dumps((number[t], where[t], role[t], s.n[i].astype(np.uint32), planes(tokens >> U(8), 7)), 5)))
     return blobs(rows)
 
 
@@ -253,8 +276,9 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def find_links(num: int, den: int, table: pa.Table) -> pa.Table:
+    lean()
     number, where, role, n, raw = zip(*(pickle.loads(x) for x in table["payload"].to_pylist()))
-    token = np.concatenate([unplanes(r, int(k.sum()), 6) for r, k in zip(raw, n)])
+    token = np.concatenate([unplanes(r, int(k.sum()), 7) for r, k in zip(raw, n)])
     number, where, role, n = map(np.concatenate, (number, where, role, n))
     n = n.astype(np.int64)
     at = np.cumsum(n) - n
@@ -285,7 +309,7 @@ def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     return summed(docs.select(F.col(text_col).cast("string").alias("text")), count, SLOTS)
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, chunk_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20, block: int = 4096) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, chunk_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20, block: int = 4096) -> DataFrame:
     """For each row: its id, the number of its different shingles, its class (equal sets have equal numbers, null if empty)
     and its component, the smallest id reachable by links.
 
@@ -311,7 +335,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return find_visits(num, den, block, table)
 
     def three(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return send_sets(make, buckets, table, replies)
+        return send_sets(make, num, den, buckets, table, replies)
 
     def four(table: pa.Table) -> pa.Table:
         return find_links(num, den, table)
