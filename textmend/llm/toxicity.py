@@ -85,9 +85,12 @@ def run_gru(x: np.ndarray, index: np.ndarray, mask: np.ndarray, u: np.ndarray, b
     return out, saved
 
 
-def forward(p: dict, vectors: np.ndarray, index: np.ndarray, mask: np.ndarray | None, keep: bool = False) -> tuple:
-    """Logit of each window."""
-    xs = [vectors @ p["w" + d] + p["b" + d] for d in "fb"]
+def gate_inputs(p: dict, vectors: np.ndarray) -> list:
+    return [vectors @ p["w" + d] + p["b" + d] for d in "fb"]
+
+
+def forward(p: dict, xs: list, index: np.ndarray, mask: np.ndarray | None, keep: bool = False) -> tuple:
+    """Logit of each window. xs: gate_inputs of the different words."""
     (hf, sf), (hb, sb) = (run_gru(x, index, mask, p["u" + d], d == "b", keep) for x, d in zip(xs, "fb"))
     h = np.concatenate([hf, hb], axis=2)
     e = np.tanh(h @ p["wa"])
@@ -185,17 +188,18 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS, seed:
         return p | {"platt": np.array([1.0, 0.0])}
 
     def logits(rows: np.ndarray) -> np.ndarray:
-        vectors = word_vectors(p, word, slots, owner)
-        return np.concatenate([forward(p, vectors, index[r], mask[r])[0] for r in np.array_split(rows, max(1, len(rows) // 4096))])
+        xs = gate_inputs(p, word_vectors(p, word, slots, owner))
+        return np.concatenate([forward(p, xs, index[r], mask[r])[0] for r in np.array_split(rows, max(1, len(rows) // 4096))])
 
     def best(rows: np.ndarray, score: np.ndarray) -> np.ndarray:
         """The highest window of each document."""
         by = np.lexsort((-score, doc[rows]))
         return rows[by[np.concatenate([[True], doc[rows][by][1:] != doc[rows][by][:-1]])]]
 
-    step = 0
+    step, top = 0, positive
     for epoch in range(epochs):
-        top = best(positive, logits(positive)) if epoch else best(positive, rng.random(len(positive)))
+        if not epoch % 2:
+            top = best(positive, logits(positive) if epoch else rng.random(len(positive)))
         rest = np.append(rng.choice(negative, min(len(negative), 2 * len(top)), replace=False), [len(doc) - 1] * 4)
         if epoch % 3 == 2 and epoch > 3:
             rest = np.concatenate([rest, best(negative, logits(negative))])
@@ -206,7 +210,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS, seed:
             pick = np.isin(owner, used)
             own = np.searchsorted(used, owner[pick])
             vectors = word_vectors(p, word[used], slots[pick], own)
-            z, saved = forward(p, vectors, inverse, mask[r], True)
+            z, saved = forward(p, gate_inputs(p, vectors), inverse, mask[r], True)
             y = toxic[doc[r]].astype(np.float32)
             error = (sigmoid(z) - y) / len(r)
             g, dv = backward(p, vectors, inverse, mask[r], saved, error.astype(np.float32))
@@ -239,20 +243,46 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS, seed:
     return p | {"platt": ab}
 
 
-def score_texts(p: dict, col) -> np.ndarray:
+MOST_WORDS = 1 << 18  # words whose vectors a task remembers; a new start beyond it changes no result
+
+
+class Vectors:
+    """Vectors of words seen before, by a 64-bit hash."""
+
+    def __init__(self):
+        self.hash, self.at, self.pool = np.zeros(0, U), np.zeros(0, np.int64), np.zeros((0, 2 * INPUT), np.float32)
+
+    def of(self, p: dict, data: np.ndarray, first: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Place in pool of each word."""
+        if len(self.hash) > MOST_WORDS:
+            self.__init__()
+        different, rep, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, different)
+        new = np.ones(len(different), bool)
+        inside = place < len(self.hash)
+        new[inside] = self.hash[place[inside]] != different[inside]
+        if new.any():
+            r = np.sort(rep[new])
+            made = word_vectors(p, *word_inputs(data, first[r], end[r]))
+            at = len(self.pool) + np.searchsorted(r, rep[new])
+            self.pool = np.concatenate([self.pool, made])
+            self.at = np.insert(self.at, place[new], at)
+            self.hash = np.insert(self.hash, place[new], different[new])
+            place = np.searchsorted(self.hash, different)
+        return self.at[place][which]
+
+
+def score_texts(p: dict, col, known: Vectors | None = None) -> np.ndarray:
     """Score of each text, from all its windows."""
     lean()
+    known = known or Vectors()
     data, first, end = joined(col)
     data = lower_ascii(data)
     a, b = word_spans(data)
     lo, hi = np.searchsorted(a, first), np.searchsorted(a, end)
-    _, rep, which = np.unique(span_hashes(data, a, b), return_index=True, return_inverse=True)
-    order = np.argsort(rep)
-    rank = np.empty(len(rep), np.int64)
-    rank[order] = np.arange(len(rep))
-    which = rank[which]
-    word, slots, owner = word_inputs(data, a[rep[order]], b[rep[order]])
-    vectors = word_vectors(p, word, slots, owner) if len(word) else np.zeros((1, 2 * INPUT), np.float32)
+    which = known.of(p, data, a, b, span_hashes(data, a, b))
+    vectors = known.pool if len(known.pool) else np.zeros((1, 2 * INPUT), np.float32)
+    xs = gate_inputs(p, vectors)
     at, size, of = windows_of(lo, hi)
     logit = np.empty(len(at), np.float32)
     whole = size == WINDOW
@@ -260,12 +290,12 @@ def score_texts(p: dict, col) -> np.ndarray:
     full, part = np.flatnonzero(whole), np.flatnonzero(~whole)
     for i in range(0, len(full), 2048):  # small enough to stay in the processor's cache
         r = full[i : i + 2048]
-        logit[r] = forward(p, vectors, which[at[r, None] + cols], None)[0]
+        logit[r] = forward(p, xs, which[at[r, None] + cols], None)[0]
     for i in range(0, len(part), 2048):
         r = part[i : i + 2048]
         mask = cols < size[r, None]
         index = np.where(mask, which[np.minimum(at[r, None] + cols, len(which) - 1)] if len(which) else 0, 0)
-        logit[r] = forward(p, vectors, index, mask)[0]
+        logit[r] = forward(p, xs, index, mask)[0]
     best = np.full(len(first), -np.inf)
     np.maximum.at(best, of, logit)
     ab = p["platt"]
@@ -311,8 +341,9 @@ def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
+        known = Vectors()
         for batch in batches:
             for part in pieces(batch, at):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(shared.value, part.column(at)).astype(np.float64))], names=[*rest, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score_texts(shared.value, part.column(at), known).astype(np.float64))], names=[*rest, "score"])
 
     return frame.mapInArrow(each, StructType([*frame.schema, StructField("score", DoubleType())]))
