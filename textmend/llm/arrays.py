@@ -159,5 +159,8 @@ def lean() -> None:
             malloc = ctypes.CDLL(None).mallopt
         except (OSError, AttributeError):  # another C library
             return
+        pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pool keeps what it had
+        pa.set_cpu_count(1)
+        malloc(-8, 1)  # M_ARENA_MAX
         malloc(-3, 1 << 22)  # M_MMAP_THRESHOLD
         malloc(-1, 1 << 24)  # M_TRIM_THRESHOLD
