@@ -44,9 +44,10 @@ def summed(df: DataFrame, count, size: int):
     import numpy as np
     import pyarrow as pa
 
-    from .arrays import pieces
+    from .arrays import lean, pieces
 
     def each(batches):
+        lean()
         total = np.zeros(size, np.int64)
         for batch in batches:
             for part in pieces(batch, 0):

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import joined, pieces, ranges, span_hashes, word_spans
+from .arrays import joined, lean, pieces, ranges, span_hashes, word_spans
 from .exchange import checkpointed
 
 END = 1  # the id after each document
@@ -120,6 +120,7 @@ PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
 
 def pack_lane(length: int, packet: int, keep_ids: bool, table: pa.Table, carry: pa.Table) -> pa.Table:
     schema = pa.schema(PIECES if keep_ids else PIECES[:-1])
+    lean()
     if not len(table):
         return schema.empty_table()
     rows = table.take(pc.sort_indices(table, sort_keys=[("source", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")]))
@@ -151,6 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def tokenize(batches):
+        lean()
         words = Words(tokenizer)
         for batch in batches:
             for part in pieces(batch, 2):

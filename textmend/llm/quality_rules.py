@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .arrays import joined, mix, pieces, powers, ranges, span_hashes, starts_of, total, word_spans
+from .arrays import joined, lean, mix, pieces, powers, ranges, span_hashes, starts_of, total, word_spans
 from .exchange import summed
 
 SLOTS = 1 << 16
@@ -55,6 +55,7 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
 
 def measure(col, ratio: np.ndarray) -> dict:
     """Base counts and score of each text."""
+    lean()
     data, start, end = joined(col)
     rows = np.arange(len(start))
     first, last = word_spans(data)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import decontaminate, html_extract, toxicity, url_filters, warc
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
 from .quality_rules import fit, quality_rules
@@ -38,12 +38,32 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    out = url_filters.url_filter(_table(spark, sf_dir, "pages"), url_filters.RULES, labels)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.train(html_extract.labelled_pages())
+    return html_extract.html_extract(_table(spark, sf_dir, "pages"), model).select("page_id", "url", "text", "n_chars")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -51,5 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_ngram_jaccard_join, op4_substring_dedup, op7_packing, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_ngram_jaccard_join, op4_substring_dedup, op5_url_filters, op6_html_extract, op7_packing, op8_warc, op9_decontaminate, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filters": url_filters.SQL,
+    "op8_warc": """WITH p AS (SELECT page_id, sha256(coalesce(html, '')) d, octet_length(encode(coalesce(html, ''))) n FROM pages),
+f AS (SELECT d, min(page_id) f FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f IS NOT NULL AND f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f < page_id THEN f END AS refers_to
+FROM p LEFT JOIN f USING (d)""",
+    "op9_decontaminate": decontaminate.SQL,
+}
