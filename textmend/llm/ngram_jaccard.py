@@ -1,10 +1,11 @@
 """N-gram Jaccard join: documents whose sets of word shingles are similar are linked, by a token-group matrix.
 
-Equal sets are one class. A class belongs to the group of its rarest shingle, so similar classes mostly share a group.
-Two sets with similarity t share at least m shingles among the n - ceil(t n) + m rarest of each, so these rare shingles
-are the matrix's rows to look at: where one is held by classes of different groups, those of one group visit the other.
-A visitor that shares fewer than m of its rare shingles with the union of a group's isn't sent there, and neither is a
-member that shares fewer with all others. A group that is visited takes the union of its members' whole sets; a visitor
+Equal sets are one class. A class belongs to the group of its smallest shingle hash, so similar classes mostly share a
+group. Two sets with similarity t share at least m shingles among the n - ceil(t n) + m rarest of each, so these rare
+shingles are the matrix's rows to look at: where one is held by classes of different groups, those of the group with
+fewer of them visit the other. That may be the one group at some shingles and the other at others, so at one of both
+places at least m / 2 are counted: a visitor that shares fewer of its rare shingles with the union of a group's isn't sent
+there, and neither is a member that shares fewer with all others. A group that is visited takes the union of its members' whole sets; a visitor
 that shares less than ceil(t n) with the union can't be similar to any member, and the group isn't opened for it. Within
 an opened group, sets are compared exactly.
 """
@@ -28,12 +29,12 @@ SLOTS = 1 << 18
 
 def at_least(n):
     """m for a set of n shingles."""
-    return n // 16
+    return n // 8
 
 
 def told_at_least(n, num: int, den: int):
-    """Rare shingles that a set of n shares with any similar one: m of the smaller set's size."""
-    return np.maximum(1, at_least((num * n + den - 1) // den))
+    """Half the rare shingles that a set of n shares with any similar one, which are m of the smaller set's size."""
+    return np.maximum(1, (at_least((num * n + den - 1) // den) + 1) // 2)
 
 
 def shingle_sets(col, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +90,11 @@ class Sets:
         self.n = n[rows]
         self.token = token[ranges(at[rows], self.n)]
         owner = np.repeat(np.arange(len(rows)), self.n)
+        self.at = np.cumsum(self.n) - self.n
+        self.group = np.minimum.reduceat(mix(self.token ^ U(0x5851F42D4C957F2D)), self.at) if len(rows) else self.token
         rank = np.minimum(rarity[(self.token & U(SLOTS - 1)).astype(np.int64)], (1 << 24) - 1).astype(U) << U(40) | self.token >> U(24)
         by = np.argsort(rank, kind="stable")
         self.token = self.token[by[np.argsort(owner[by].astype(np.uint16) if len(rows) < 1 << 16 else owner[by], kind="stable")]]
-        self.at = np.cumsum(self.n) - self.n
         self.prefix = self.n - (num * self.n + den - 1) // den + np.maximum(1, at_least(self.n))
 
 
@@ -101,7 +103,7 @@ def send_prefixes(make, buckets: int, table: pa.Table) -> pa.Table:
     at = ranges(s.at, s.prefix)
     owner = np.repeat(np.arange(len(s.n)), s.prefix)
     token = s.token[at]
-    group = mix(s.token[s.at])[owner] if len(s.n) else token
+    group = s.group[owner]
     bucket = (mix(token) % U(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     rows, number = [], table["chunk"][0].as_py()
@@ -156,8 +158,8 @@ def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
         for b in range(1 << int(depth[g])):
             go = rows[block[rows] > b]
             out.append((number[go], np.full(len(go), place(group[go[:1]], depth[g : g + 1], np.array([b]))[0] if len(go) else 0, U), np.ones(len(go), np.int8), chunk[go]))
-    # groups at one token: of each pair the one that comes first, in the same order at every token, visits
-    order = np.lexsort((group[g0], token[g0]))
+    # groups at one token: of each pair the one with fewer classes visits
+    order = np.lexsort((group[g0], gsize, token[g0]))
     s0 = np.flatnonzero(starts_of(token[g0]))
     tsize = np.diff(np.append(s0, len(g0)))
     rank = np.arange(len(g0)) - np.repeat(s0, tsize)
