@@ -45,13 +45,12 @@ def windows_of(benchmark: DataFrame, id_col: str, text_col: str, words: int) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 10, shingle: int = SHINGLE, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """For each row: doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated.
+    """For each row: doc_id, text_hash, n_words, n_hit, n_items, items (sorted strings), contaminated.
 
     A word is a run of characters other than ASCII that is no letter or digit; A-Z count as a-z. A window is a run of so
     many words of an item, or the whole item if it has fewer; a word inside an occurrence of a window is hit. Null and
     empty texts have no words, and neither do such items; an item without an id is left out. Repeated rows get the same
     result each; of rows with the same id each is judged by its own text. Items that share a window are all named."""
-    spark = docs.sparkSession
     windows = windows_of(benchmark, item_col, item_text_col, words)
     count, least = windows.agg(F.count("*"), F.min("n")).first()
     small = F.broadcast if count <= most_broadcast else lambda df: df
@@ -59,7 +58,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("w"))
     per_doc = rows.select("doc_id", "h", F.size("w").cast("long").alias("n_words"))
     if not count:
-        empty = per_doc.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
+        empty = per_doc.select("doc_id", F.col("h").alias("text_hash"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
         return empty.withColumn("contaminated", F.lit(False))
     sizes = sorted({min(shingle, n) for n in range(least, shingle + 1)} | {min(shingle, words)})
     # a row for each word and shingle size; the words are an array that is copied only where a join finds something
@@ -92,9 +91,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     found = found.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), covered.alias("n_hit"), "items")
     out = per_doc.join(found, per_doc.doc_id.eqNullSafe(found.hit_id) & (per_doc.h == found.hit_h), "left")
-    del spark
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select("doc_id", F.col("h").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 SQL = """WITH d AS (SELECT doc_id, md5(coalesce(text, '')) h, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),

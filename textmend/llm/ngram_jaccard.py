@@ -312,7 +312,7 @@ def shingle_counts(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, chunk_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20, block: int = 4096) -> DataFrame:
-    """For each row: its id, the number of its different shingles, its class (equal sets have equal numbers, null if empty)
+    """For each row: its id, a hash of its text, the number of its different shingles, its class (equal sets have equal numbers, null if empty)
     and its component, the smallest id reachable by links.
 
     A text is lower-cased in A-Z and parted at white space; a set is that of all runs of so many words, or of the whole
@@ -346,15 +346,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in pieces(batch, 1):
                 n, number = classes_of(*shingle_sets(part.column(1), words), len(part))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(number, mask=n == 0)], names=["doc_id", "n_shingles", "class_id"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(number, mask=n == 0)], names=["doc_id", "text_hash", "n_shingles", "class_id"])
 
     by_chunk = rows.groupBy("chunk")
     visits = by_chunk.applyInArrow(one, blob).groupBy("bucket").applyInArrow(two, blob)
     links = by_chunk.cogroup(visits.groupBy("chunk")).applyInArrow(three, blob).groupBy("bucket").applyInArrow(four, "a long, b long")
     found = components(links)
-    each = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(describe, "doc_id long, n_shingles long, class_id long"))
+    each = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, class_id long"))
     least = each.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
     least = least.join(found, least.class_id == found.node, "left").select("class_id", "least", F.coalesce("component", "class_id").alias("component"))
     whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
     known = least.join(whole, "component").select("class_id", "component_id")
-    return each.join(known, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return each.join(known, "class_id", "left").select("doc_id", "text_hash", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -404,7 +404,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, spec: Callable, cl
     """Runs the rounds; finish(chunk, firsts, ends) makes the result's rows. spec(buckets) gives the Spec."""
     chunks, buckets = counts(sized(docs, text_col), chunk_bytes, bucket_bytes)
     s = spec(buckets)
-    rows = chunked(docs, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")}, F.col(id_col), chunks)
+    rows = chunked(docs, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string"), "text_hash": F.xxhash64(F.col(text_col).cast("string"))}, F.col(id_col), chunks)
     blob = "bucket int, chunk int, payload binary"
 
     # named here, so that they are plain functions of tables for Spark

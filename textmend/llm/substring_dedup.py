@@ -85,7 +85,7 @@ def equal_windows(symbols: np.ndarray, first: np.ndarray, segment: np.ndarray, w
     return np.unique(out, return_inverse=True)[1]
 
 
-SCHEMA = "doc_id long, n_words long, n_removed long, span_starts array<long>, span_lengths array<long>, kept string"
+SCHEMA = "doc_id long, n_words long, n_removed long, span_starts array<long>, span_lengths array<long>, kept string, text_hash long"
 
 
 def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -105,13 +105,14 @@ def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
     total = chunk.hi - chunk.lo
     spans = [(first[x:y] - z, end[x:y] - first[x:y]) for x, y, z in zip(a, b, chunk.lo.tolist())]
     return pa.Table.from_arrays(
-        [chunk.table["doc_id"].combine_chunks() if isinstance(chunk.table["doc_id"], pa.ChunkedArray) else chunk.table["doc_id"], pa.array(total), pa.array(total - (hi - lo)), pa.array([x for x, _ in spans], pa.list_(pa.int64())), pa.array([y for _, y in spans], pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())],
+        [chunk.table["doc_id"].combine_chunks() if isinstance(chunk.table["doc_id"], pa.ChunkedArray) else chunk.table["doc_id"], pa.array(total), pa.array(total - (hi - lo)), pa.array([x for x, _ in spans], pa.list_(pa.int64())), pa.array([y for _, y in spans], pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string()), chunk.table["text_hash"]],
         names=[x.split()[0] for x in SCHEMA.split(", ")],
     )
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, sampled: int = 24, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """For each row: its id, words, removed words, removed spans (in words) and the words that stay, joined by one space.
+    """For each row: its id, words, removed words, removed spans (in words), the words that stay, joined by one space, and a hash of
+    the text.
 
     A word is removed if a window of that many words covers it whose words also start anywhere else, in the same row or
     in another; all occurrences go. Null texts have no words; texts shorter than a window keep all; repeated rows remove

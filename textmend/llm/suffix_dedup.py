@@ -99,7 +99,7 @@ def equal_windows(text: np.ndarray, first: np.ndarray, segment: np.ndarray, wind
     return np.unique(out, return_inverse=True)[1] if len(false) else out
 
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept binary, text_hash long"
 
 
 def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -112,11 +112,12 @@ def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
         kept = b"".join(chunk.data[x:y].tobytes() for x, y in zip(cut[::2], cut[1::2]))
         out.append((ids[i], hi - lo, hi - lo - len(kept), len(s), [x - lo for x in s], [y - x for x, y in zip(s, e)], kept))
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+    return pa.Table.from_arrays([*columns, chunk.table["text_hash"]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, sampled: int = 24, chunk_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """For each row: its id, bytes, removed bytes, removed spans and the bytes that stay.
+    """For each row: its id, bytes, removed bytes, removed spans, the bytes that stay, and a hash of the text.
 
     A byte is removed if a string of window bytes covers it that also starts in a row with a smaller id. Null texts are
     empty; texts shorter than a window keep all; a null id counts as larger than any other; rows with the same id are one
