@@ -33,7 +33,7 @@ class ArcError(ValueError):
 
 
 def arc_header(version: int, values: dict) -> bytes:
-    return " ".join(str(values.get(f) or "-") for f in FIELDS[version]).encode() + b"\n"
+    return " ".join(str("-" if values.get(f) is None else values[f]) for f in FIELDS[version]).encode() + b"\n"
 
 
 def write_arc(records: list[tuple[dict, bytes]], version: int = 1, name: str = "pages.arc", date: str = "20240101000000") -> bytes:
