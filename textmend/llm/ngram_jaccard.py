@@ -355,6 +355,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, class_id long"))
     least = each.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
     least = least.join(found, least.class_id == found.node, "left").select("class_id", "least", F.coalesce("component", "class_id").alias("component"))
-    whole = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join are dealt for it and a hot component can be split
+    whole = checkpointed(least.groupBy("component").agg(F.min("least").alias("component_id")))
     known = least.join(whole, "component").select("class_id", "component_id")
     return each.join(known, "class_id", "left").select("doc_id", "text_hash", "n_shingles", "class_id", F.coalesce("component_id", "doc_id").alias("component_id"))

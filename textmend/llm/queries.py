@@ -72,7 +72,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_ngram_jaccard_join, op4_substring_dedup, op5_url_filters, op6_html_extract, op7_packing, op8_warc, op9_decontaminate, op10_toxicity)}
+_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """WITH d AS (SELECT doc_id, md5(coalesce(text, '')) h, any_value(hex(encode(coalesce(text, '')))) x FROM documents GROUP BY ALL),
+win AS (SELECT doc_id, h, p, substr(x, 2 * p + 1, 100) v FROM (SELECT doc_id, h, x, unnest(range(0, greatest(0, len(x) // 2 - 49))) p FROM d)),
+low AS (SELECT v, min(doc_id) least FROM win GROUP BY v),
+hit AS (SELECT DISTINCT doc_id, h, p FROM win JOIN low USING (v) WHERE least < doc_id),
+mark AS (SELECT *, max(p + 50) OVER (PARTITION BY doc_id, h ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) upto FROM hit),
+run AS (SELECT *, sum(CASE WHEN upto IS NULL OR p > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, h ORDER BY p) k FROM mark),
+span AS (SELECT doc_id, h, k, min(p) a, max(p) + 50 z FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, h, coalesce(lag(z) OVER w, 0) a, a z, a = max(a) OVER (PARTITION BY doc_id, h) AS final, z after FROM span WINDOW w AS (PARTITION BY doc_id, h ORDER BY a)),
+kept AS (SELECT doc_id, h, string_agg(substr(x, 2 * gap.a + 1, 2 * (gap.z - gap.a)) || CASE WHEN final THEN substr(x, 2 * after + 1) ELSE '' END, '' ORDER BY gap.a) x, count(*) n_spans FROM gap JOIN d USING (doc_id, h) GROUP BY ALL)
+SELECT o.doc_id, len(d.x) // 2 AS n_bytes, (len(d.x) - len(coalesce(kept.x, d.x))) // 2 AS n_removed, coalesce(n_spans, 0)::BIGINT n_spans, sha256(unhex(coalesce(kept.x, d.x))) kept_sha256
+FROM documents o JOIN d ON o.doc_id = d.doc_id AND md5(coalesce(text, '')) = d.h LEFT JOIN kept ON d.doc_id = kept.doc_id AND d.h = kept.h""",
+    "op3_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) s FROM w),
+n AS (SELECT doc_id, count(*) n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id a, doc_id b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT n_shingles, coalesce(m, w.doc_id) component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) m FROM reach GROUP BY a) c ON c.a = w.doc_id""",
+    "op4_substring_dedup": f"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} w FROM documents),
+win AS (SELECT r, p, array_to_string(w[p : p + 34], ' ') v FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 33))) p FROM w)),
+twice AS (SELECT v FROM win GROUP BY v HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) q FROM win JOIN twice USING (v)),
+word AS (SELECT r, unnest(w) x, generate_subscripts(w, 1) q FROM w),
+kept AS (SELECT r, count(*) n, string_agg(x, ' ' ORDER BY q) t FROM word ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) kept_sha256 FROM w LEFT JOIN kept USING (r)""",
     "op5_url_filters": url_filters.SQL,
     "op8_warc": """WITH p AS (SELECT page_id, sha256(coalesce(html, '')) d, octet_length(encode(coalesce(html, ''))) n FROM pages),
 f AS (SELECT d, min(page_id) f FROM p WHERE n >= 100 GROUP BY d)
