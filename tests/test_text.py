@@ -95,3 +95,16 @@ def test_confusions(spark):
 def test_choose_aligned(spark):
     rows = spark.createDataFrame([(i, 0.9 if i % 2 else 0.1) for i in range(1, 11)], "place int, coverage double")
     assert sorted(r.place for r in C.choose_aligned(rows, 3, 3).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_hash_places(spark):
+    import hashlib
+
+    from textmend.functions.draws import hash_key, hash_places
+
+    rows = [f"d{i % 900}" for i in range(1000)]  # ties too
+    df = spark.createDataFrame([(x,) for x in rows], "doc string")
+    got = hash_places(df, hash_key(7, "x", F.col("doc")), "doc").collect()
+    want = sorted(rows, key=lambda x: (hashlib.sha256(f"7:x:{x}".encode()).hexdigest(), x))
+    assert [r.doc for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 1001))
+    assert hash_places(df.limit(0), hash_key(7, F.col("doc"))).count() == 0

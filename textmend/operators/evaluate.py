@@ -245,3 +245,18 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: dot(x, y)))), F.lit(0.0).cast("double"), lambda s, z: s + z) / F.size(xs)
     rows = pairs.select("pair_id", best(F.col("a"), F.col("b")).alias("precision"), best(F.col("b"), F.col("a")).alias("recall"))
     return rows.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def side_by_side(rows: DataFrame, key: list[str], methods: list[str], text: str = "repaired_sentence") -> DataFrame:
+    """A column of texts for each method."""
+    return rows.groupBy(*key).pivot("method", methods).agg(F.first(text))
+
+
+def recap(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(place, quantity, value) of several one-row tables, for a list of the numbers a report uses."""
+    out = None
+    for place, df in parts:
+        pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in df.columns)
+        one = df.selectExpr(f"'{place}' as place", f"stack({len(df.columns)}, {pairs}) as (quantity, value)")
+        out = one if out is None else out.unionAll(one)
+    return out

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmend.functions import text as T
-from textmend.functions.draws import hash_key
+from textmend.functions.draws import hash_key, hash_places
 from textmend.schemas import CONFIG
 
+# The length bins of the reference data.
 LENGTH_BINS = [(0, 19, "under 20"), (20, 29, "20-29"), (30, 44, "30-44"), (45, 60, "45-60"), (61, 80, "61-80"), (81, 10**9, "81 and more")]
 
 
@@ -167,8 +168,8 @@ def doc_split(docs: DataFrame, seed: int, share: float = 0.10) -> DataFrame:
     rows = docs.select("doc_id").distinct()
     n = rows.count()
     held = max(1, round(n * share))
-    first = rows.orderBy(hash_key(seed, "val_split", F.col("doc_id")), "doc_id").limit(held).withColumn("val", F.lit(True))
-    return rows.join(first, "doc_id", "left").select("doc_id", F.when(F.col("val"), "val").otherwise("train").alias("usage"))
+    placed = hash_places(rows, hash_key(seed, "val_split", F.col("doc_id")), "doc_id")
+    return placed.select("doc_id", F.when(F.col("place") <= held, "val").otherwise("train").alias("usage"))
 
 
 def leakage(pool: DataFrame, sample: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def pool_summary(pool: DataFrame) -> DataFrame:
 def ordered_docs(docs: DataFrame, exclude: DataFrame, seed: int) -> DataFrame:
     """doc_id and place of documents not in exclude, in the order of a hash."""
     rest = docs.select("doc_id").distinct().join(exclude.select("doc_id").distinct(), "doc_id", "left_anti")
-    return rest.select("doc_id", F.row_number().over(Window.orderBy(hash_key(seed, "calibration", F.col("doc_id")), "doc_id")).alias("place"))
+    return hash_places(rest, hash_key(seed, "calibration", F.col("doc_id")), "doc_id")
 
 
 def review_picks(sample: DataFrame, levels: list[str], per_level: int, seed: int) -> DataFrame:
@@ -216,7 +217,13 @@ def first_per_group(df: DataFrame, group: str, order: list, n: int) -> DataFrame
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
 
 
-def batches(df: DataFrame, size: int, seed: int, epoch: int, key: Column) -> DataFrame:
+def batches(df: DataFrame, size: int, seed: int, epoch: int, key: str) -> DataFrame:
     """Adds batch: rows in the order of a hash of key and epoch, size at a time."""
-    place = F.row_number().over(Window.orderBy(hash_key(seed, "shuffle", F.lit(epoch), key), key))
-    return df.withColumn("batch", F.floor((place - 1) / size).cast("int"))
+    placed = hash_places(df, hash_key(seed, "shuffle", F.lit(epoch), F.col(key)), key, name="_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
+
+
+def quota_first(df: DataFrame, group: str, quota: dict, order: list) -> DataFrame:
+    """The first rows of each group in an order, as many as a short table of quotas says."""
+    most = F.coalesce(*(F.when(F.col(group) == k, F.lit(n)) for k, n in quota.items()), F.lit(0))
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_place") <= most).drop("_place")

@@ -230,7 +230,7 @@ def first_per_group(spark, sf):
 
 @query(f"SELECT c_custkey, ((row_number() OVER (ORDER BY sha256(concat_ws(':', '{SEED}', 'shuffle', '1', c_custkey::VARCHAR)), c_custkey) - 1) // 16)::INT AS batch FROM customer")
 def batch_assign(spark, sf):
-    return P.batches(_t(spark, sf, "customer").select("c_custkey"), 16, SEED, 1, F.col("c_custkey"))
+    return P.batches(_t(spark, sf, "customer").select("c_custkey"), 16, SEED, 1, "c_custkey")
 
 
 @query(f"WITH {NAMES} SELECT gold, ocr FROM pairs ORDER BY sha256(concat_ws(':', '{SEED}', gold, ocr)), gold LIMIT 20")
@@ -540,3 +540,44 @@ def quartiles(spark, sf):
 def props_total(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     return _t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+
+
+@query("SELECT count(*) AS sentences, count(DISTINCT o_custkey) AS excerpts, (SELECT max(c) FROM (SELECT count(*) c FROM orders GROUP BY o_custkey)) AS most_from_one, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1)) AS in_both FROM orders")
+def sample_spread(spark, sf):
+    return P.sample_spread(_t(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("split")))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) k FROM orders) WHERE k <= CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 2 WHEN '5-LOW' THEN 1 ELSE 0 END")
+def quota_first(spark, sf):
+    return P.quota_first(_t(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderpriority", {"1-URGENT": 2, "2-HIGH": 2, "5-LOW": 1}, ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+TEMPLATE = "[system]\nYou repair text.\n[user]\nTurn {turn} of {k}: {sentence}"
+
+
+@query("WITH n AS (SELECT conv_id, count(*) k FROM conversations GROUP BY conv_id) SELECT conv_id, turn, 'You repair text.' AS system, 'Turn ' || turn || ' of ' || k || ': ' || text AS \"user\" FROM conversations JOIN n USING (conv_id)")
+def prompt_messages(spark, sf):
+    c = _t(spark, sf, "conversations")
+    c = c.join(c.groupBy("conv_id").agg(F.count("*").alias("k")), "conv_id")
+    m = R.messages(TEMPLATE, {"turn": F.col("turn"), "k": F.col("k"), "sentence": F.col("text")})
+    return c.select("conv_id", "turn", m[0]["content"].alias("system"), m[1]["content"].alias("user"))
+
+
+@query(f"WITH {Q.SENT}, t AS (SELECT doc_id, min(id) id FROM sent WHERE len(fact_idx) > 0 GROUP BY doc_id) SELECT t.id, string_agg(CASE WHEN sent.id = t.id THEN '<<< ' || upper(sent.id) || ' >>>' ELSE text END, ' ' ORDER BY sent.id) context FROM t JOIN sent USING (doc_id) GROUP BY t.id")
+def article_context(spark, sf):
+    """Every document around its first sentence with a fact."""
+    s = _sentences(spark, sf).withColumn("pos", F.col("id"))
+    targets = s.where("n_facts > 0").groupBy("doc_id").agg(F.min("id").alias("id")).withColumn("pos", F.col("id")).withColumn("view", F.upper("id"))
+    return R.article_context(s.select("doc_id", "pos", "text"), targets)
+
+
+@query("SELECT 'orders' AS place, 'rows' AS quantity, count(*)::VARCHAR AS \"value\" FROM orders UNION ALL SELECT 'orders', 'customers', count(DISTINCT o_custkey)::VARCHAR FROM orders UNION ALL SELECT 'lineitem', 'rows', count(*)::VARCHAR FROM lineitem")
+def recap_numbers(spark, sf):
+    o, l = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
+    return E.recap([("orders", o.agg(F.count("*").alias("rows"), F.countDistinct("o_custkey").alias("customers"))), ("lineitem", l.agg(F.count("*").alias("rows")))])
+
+
+@query("SELECT c_nationkey AS key, max(c_name) FILTER (WHERE c_mktsegment = 'BUILDING') AS \"BUILDING\", max(c_name) FILTER (WHERE c_mktsegment = 'MACHINERY') AS \"MACHINERY\" FROM (SELECT c_nationkey, c_mktsegment, min(c_name) c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY ALL) GROUP BY 1")
+def side_by_side(spark, sf):
+    c = _t(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).groupBy(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("method")).agg(F.min("c_name").alias("text"))
+    return E.side_by_side(c, ["key"], ["BUILDING", "MACHINERY"], "text")

@@ -119,3 +119,10 @@ def load_frozen(spark: SparkSession, path: str, version: str, expected: dict) ->
     if digest(df) != expected:
         raise ValueError(f"version {version} isn't what was frozen")
     return df
+
+
+def snapshot(version: str, config: dict, name: str, rows: dict, sources: dict) -> str:
+    """The settings that made a version, its digest and those of its sources, as JSON with sorted keys."""
+    import json
+
+    return json.dumps({"version": version, "data": name, "digest": rows, "sources": sources, "config": config}, sort_keys=True, indent=1, ensure_ascii=False)
