@@ -16,6 +16,7 @@ only on its input, so lost executors cost a recomputation of their part and noth
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -294,7 +295,7 @@ def send_contexts(spec: Spec, table: pa.Table, replies: pa.Table) -> pa.Table:
     for a, z in zip(cut, np.append(cut[1:], len(by)) if len(by) else []):
         t = by[a:z]
         texts = [chunk.text(x, y) for x, y in zip(at[t].tolist(), (nwin[t] + W - 1).tolist())]
-        body = {"seg": seg[t], "nwin": nwin[t].astype(np.uint8), "off": off[t].astype(np.uint8), "doc": doc[t], "several": several[t], "id": ident[t].astype(np.uint32), "dealt": dealt[t], "size": np.array([len(x) for x in texts], np.uint32), "text": b"".join(texts)}
+        body = {"seg": seg[t], "nwin": nwin[t].astype(np.uint8), "off": off[t].astype(np.uint8), "doc": doc[t], "several": several[t], "id": ident[t].astype(np.uint32), "dealt": dealt[t], "size": np.array([len(x) for x in texts], np.uint32), "text": zlib.compress(b"".join(texts), 1)}
         rows.append((int(bucket[t[0]]), number, pickle.dumps(body, 5)))
     return blobs(rows)
 
@@ -307,7 +308,7 @@ def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
     numbers = table["chunk"].to_pylist()
     e = {k: np.concatenate([b[k] for b in bodies]) for k in ("seg", "nwin", "off", "doc", "several", "id", "dealt", "size")}
     chunk = np.repeat(numbers, [len(b["seg"]) for b in bodies])
-    text = b"".join(b["text"] for b in bodies)
+    text = b"".join(zlib.decompress(b["text"]) for b in bodies)
     if spec.words:
         known: dict = {}
         at, symbols, base = 0, [], []
