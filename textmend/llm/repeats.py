@@ -94,7 +94,8 @@ def find_runs(sym: Callable, n: int, starts: np.ndarray, ends: np.ndarray, k: in
         nwin = breaks[np.searchsorted(breaks, js, "right")] - js
         at, size = least[js].astype(np.int64), nwin + W - 1
         ctx = mix(((total[js + size] - total[js]) * inv[js]) ^ mix((at - js).astype(U) * U(1 << 20) + size.astype(U)))
-        out.append((js + lo, nwin, at - js, v[at] >> U(16), ctx >> U(24)))
+        # an anchor's hash is a minimum, so it's mixed again to be spread evenly over buckets
+        out.append((js + lo, nwin, at - js, mix(v[at]) >> U(16), ctx >> U(24)))
     if not out:
         z = np.zeros(0, np.int64)
         out = [(z, z, z, z.astype(U), z.astype(U))]
