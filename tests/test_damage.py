@@ -274,3 +274,56 @@ def test_fill_slots():
     options = lambda texts, dropped: [[[("Police", -1.0), ("court", -1.1), ("dog", -0.9)]]]
     assert R.fill_slots(view, options, lam=1.0, masks=1) == ["Police-court", "dog"]
     assert R.fill_slots(view, options, lambda part: {part: 0.0}, lam=1.0, masks=1)[0] == "Pol1ce-coart"
+
+
+def test_lookup_answers(spark, damage):
+    d = damage.where("severity = '10'")
+    words = sorted({w for r in d.collect() for w in r.gold_tokens})
+    docs = spark.createDataFrame([("x", [" ".join(words)])], "doc_id string, paragraphs array<string>")
+    lex = X.build_lexicon(docs).cache()
+    entries = [(r.word, r.n) for r in lex.collect()]
+    for r in X.lookup(L.build_slots(d), lex).collect():
+        assert len(r.pred_words) == r.k
+        for s, w in zip(sorted(r.slots, key=lambda s: s.idx), r.pred_words):
+            core = s.core
+            like = lambda x: round((1 - R.word_similarity(core, x)) * max(len(core), len(x)))
+            assert w == (min(entries, key=lambda e: (like(e[0]), -e[1], e[0]))[0] if core else "")
+
+
+def test_review_picks(spark):
+    rows = spark.createDataFrame([(f"s{i}", "abc"[i % 3]) for i in range(60)], "id string, band string")
+    picks = P.review_picks(rows, LEVELS[1:], 4, 1).orderBy("turn").collect()
+    assert len(picks) == 20 and len({p.id for p in picks}) == 20
+    assert all({p.band for p in picks if p.level == x} == set("abc") for x in LEVELS[1:])
+
+
+def test_training_examples(spark, sample):
+    pool = sample.select("id", "doc_id", F.col("gold_text").alias("text"), "band", "fact_idx", F.size(F.split("gold_text", " ")).alias("n_words"), F.when(F.col("id") == "d0-000", "val").otherwise("train").alias("usage"))
+    pieces = lambda c: F.lit(2)
+    first, second = (G.masked_examples(pool, 1, e, pieces).collect() for e in ("1", "2"))
+    val = lambda rows: sorted(r for r in rows if r.usage == "val")
+    assert val(first) == val(second) and sorted(first) != sorted(second)
+    spans = {r.id: r for r in G.training_spans(pool, 1, "1").collect()}
+    for r in first:
+        s = spans[r.id]
+        assert s.start <= r.target_pos < s.end and r.masked_input.count("[MASK]") == 2 + s.end - r.target_pos - 1
+    for r in G.bracket_examples(pool, TABLE, "1").collect():
+        assert r.source.count("{ ") == r.target.count("{ ") == r.k
+    log = spark.createDataFrame([(1, 5.0), (2, 4.0), (3, 4.5), (4, 4.2), (5, 3.0)], "epoch int, loss double")
+    assert [(r.best, r.since, r.stop) for r in G.early_stop(log, 2).orderBy("epoch").collect()] == [(5.0, 0, False), (4.0, 0, False), (4.0, 1, False), (4.0, 2, True), (3.0, 0, True)]
+
+
+def test_calibration_is_one_row(spark):
+    from textmend.operators import calibrate as C
+
+    text = "the man was taken to the court by them and some others came home again"
+    worse = "the rnan was takeu to the court by tbem and some others carne home again"
+    pairs = spark.createDataFrame([("a", text, worse), ("b", text, worse), ("c", text, "nothing at all is alike here")], "doc_id string, gold string, other string")
+    looked = C.choose_aligned(C.align_pairs(pairs).withColumn("place", F.ascii("doc_id") - 96), 3, 1).cache()
+    assert {r.doc_id: r.used for r in looked.collect()} == {"a": True, "b": True, "c": False}
+    found = C.all_pairs(looked.where("used"))
+    row = C.calibration(42, looked, found, 40).first()
+    assert sorted(row.docs_used) == ["a", "b"] and row.docs_dropped[0].doc_id == "c" and row.paired == 8
+    assert {(c.gold, c.ocr): c["count"] for c in row.confusions} == {("m", "rn"): 4}
+    assert C.before_after(found, looked.where("used"), 40).count() == 2
+    assert C.coverage_totals(looked).first().word_error_rate == pytest.approx(8 / 30)
