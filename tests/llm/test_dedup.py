@@ -149,6 +149,22 @@ def test_near_copies_of_one_text(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 300_000}])
+def test_near_copies_of_long_texts(spark, sizes):
+    """Two long texts share more rare shingles in a bucket than a byte can count."""
+    rng = random.Random(6)
+    rows = []
+    for i, k in enumerate([6000, 20000, 20000]):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(k)]
+        rows.append([2 * i, " ".join(w)])
+        for j in range(0, k, 100 if i < 2 else 15):  # the last pair isn't similar
+            w[j] = f"x{j}"
+        rows.append([2 * i + 1, " ".join(w)])
+    got = ngram_jaccard_join(frame(spark, rows), **sizes).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute_jaccard(rows)
+    assert sorted(map(tuple, got)) == want and [c for _, _, c in want] == [0, 0, 2, 2, 4, 5]
+
+
 def test_hot_anchors_take_the_other_way(spark):
     """More contexts of one anchor than are compared together: windows are dealt out one by one."""
     rng = random.Random(8)

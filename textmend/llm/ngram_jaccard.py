@@ -121,7 +121,8 @@ def place(group: np.ndarray, depth: np.ndarray, block: np.ndarray) -> np.ndarray
 
 def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
     """For a bucket of shingles: which classes are members (0) and which are visitors (1) of which group's block, and by how
-    many shingles; 255 if the block is one of a large group's, whose shingles aren't counted together."""
+    many shingles; 255 for that many or more, which is taken as enough, and if the block is one of a large group's, whose
+    shingles aren't counted together."""
     lean()
     parts = []
     for c, raw in zip(table["chunk"].to_pylist(), table["payload"].to_pylist()):
@@ -192,7 +193,7 @@ def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
     times = np.diff(np.append(first, len(by)))
     number, where, role, chunk = (x[first] for x in (number, where, role, chunk))
     large = np.unique(np.concatenate([np.zeros(0, U), *(place(group[g0[g : g + 1]], depth[g : g + 1], np.array([b])) for g in np.flatnonzero(big).tolist() for b in range(1 << int(depth[g])))]))
-    times = np.where(np.isin(where, large), 255, np.minimum(times, 254)).astype(np.uint8)
+    times = np.where(np.isin(where, large), 255, np.minimum(times, 255)).astype(np.uint8)
     rows = []
     cut = np.flatnonzero(starts_of(chunk)).tolist() if len(chunk) else []
     for a, z in zip(cut, [*cut[1:], len(chunk)]):
