@@ -78,6 +78,13 @@ def test_quality_rules(spark):
     assert Q.quality_rules(docs.limit(0), ratio).count() == 0
 
 
+def test_all_trusted_documents_count(spark):
+    texts = [f"{i % 97} trusted {i}" for i in range(5000)] + ["other"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, _ = brute_ratio(texts, [i < 5000 for i in range(len(texts))])
+    assert np.allclose(Q.fit(docs, docs.where("doc_id < 5000").select("doc_id")), want, atol=1e-5)
+
+
 def brute_windows(docs, items):
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     find = lambda t: re.findall(word, (t or "").translate(LOW))

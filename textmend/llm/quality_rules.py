@@ -20,8 +20,6 @@ ORDER = 4
 SYMBOLS = b"#*$%&|<>"
 #: Rejected below this score: on average each n-gram is less likely in trusted text by a factor of exp(0.5).
 THRESHOLD = -0.5
-#: At most so many trusted documents are counted, those with the smallest hashes of their ids.
-MOST_TRUSTED = 4096
 
 
 def slots_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,17 +32,20 @@ def slots_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return ((g * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), start, np.maximum(start, end - ORDER + 1)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_TRUSTED) -> np.ndarray:
-    """The logarithm of the ratio of both multinomials for each slot. trusted: ids in its first column."""
-    ids = trusted.toDF("trusted_id").where("trusted_id is not null").distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
-    marked = docs.select(F.col(id_col).alias("trusted_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids.withColumn("mark", F.lit(True))), "trusted_id", "left").select("text", F.coalesce("mark", F.lit(False)).alias("mark"))
+def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The logarithm of the ratio of both multinomials for each slot. trusted: ids in its first column, all of which count."""
+    rows = docs.select(F.col(id_col).alias("trusted_id"), F.col(text_col).cast("string").alias("text"))
+    ids = trusted.toDF("trusted_id").where("trusted_id is not null").distinct()
+    # both sides are dealt by id; only ids are held in memory, and texts aren't sorted
+    known = rows.where("trusted_id is not null").join(ids.hint("shuffle_hash"), "trusted_id", "left_semi")
+    marked = rows.select("text", F.lit(False).alias("mark")).unionByName(known.select("text", F.lit(True).alias("mark")))
 
     def count(batch) -> np.ndarray:
         data, start, end = joined(batch.column(0))
         slot, a, b = slots_of(data, start, end)
         mark = np.asarray(batch.column(1)).astype(bool)
         of = lambda on: np.bincount(slot[ranges(a[on], b[on] - a[on])], minlength=SLOTS)
-        return np.concatenate([of(np.ones(len(a), bool)), of(mark)])
+        return np.concatenate([of(~mark), of(mark)])
 
     n = summed(marked, count, 2 * SLOTS).astype(float)
     raw, target = n[:SLOTS], n[SLOTS:]
