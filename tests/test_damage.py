@@ -79,6 +79,19 @@ def test_records(damage):
             assert all(mine[p.idx] == p for p in levels[a].ops_per_word)
 
 
+def test_queries_damage_the_whole_pool(spark, tmp_path):
+    from textmend.plans import queries as N
+
+    line = "The " + "word " * 10 + "of Mr. Smith in March was sold for £{} and " + "more " * 10 + "here."
+    texts = [(i, "en", " ".join(line.format(10 * i + j) for j in range(3))) for i in range(100)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sf, ids = str(tmp_path), lambda df: {r.id for r in df.select("id").distinct().collect()}
+    pool = ids(N._pool(spark, sf))
+    assert len(pool) > CONFIG["n_test"] + CONFIG["n_dev"]
+    assert ids(N.damage_records(spark, sf)) == pool and ids(N.slot_views(spark, sf)) == pool
+    assert not any(N.damage_checks(spark, sf).first()) and not any(N.splice_round_trip(spark, sf).first())
+
+
 def test_round_trips(damage):
     plans = L.by_place(F.col("ops_per_word"))
     gold = L.splice(F.col("gold_tokens"), plans, F.transform(plans, lambda p: p["gold"]))

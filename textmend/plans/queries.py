@@ -56,7 +56,8 @@ def _sample(spark, sf) -> DataFrame:
 
 
 def _damage(spark, sf) -> DataFrame:
-    return D.build_damage(_sample(spark, sf), TABLE)
+    """Damage of every sentence of the pool."""
+    return D.build_damage(_pool(spark, sf).withColumnRenamed("text", "gold_text").withColumn("split", F.lit("pool")), TABLE)
 
 
 def _name_pairs(spark, sf) -> DataFrame:
@@ -319,7 +320,7 @@ def cer_by_level(spark, sf):
 
 @query()
 def damage_checks(spark, sf):
-    return Z.check_damage(_damage(spark, sf), CONFIG["n_test"] + CONFIG["n_dev"], len(LEVELS))
+    return Z.check_damage(_damage(spark, sf), _pool(spark, sf).count(), len(LEVELS))
 
 
 # slots and word lists
@@ -393,7 +394,7 @@ def rerank_grid(spark, sf):
 
 
 def _lookup(spark, sf) -> tuple[DataFrame, DataFrame]:
-    damage = _damage(spark, sf)
+    damage = D.build_damage(_sample(spark, sf), TABLE)  # the list leaves out the documents of what's repaired
     views = L.build_slots(damage.where("k > 0"))
     used = damage.select("doc_id").distinct()
     return damage, X.lookup(views, X.build_lexicon(S.documents(spark, sf), used)).withColumn("method", F.lit("lookup"))
