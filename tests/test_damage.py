@@ -129,6 +129,34 @@ def test_nearest(spark):
     assert {r.word: r.n for r in X.part_counts(X.build_lexicon(docs)).collect()}["Market"] == 1
 
 
+def test_queries_search_the_whole_list(spark, tmp_path):
+    from textmend.plans import queries as N
+
+    tables = {"nation": ("n_name string", [("PERÜ",)]), "region": ("r_name string", [("EUROPE",)]), "benchmark": ("item_id long, text string", [(1, "Strasse, größer enorme perfectamente")])}
+    tables["documents"] = ("doc_id long, lang string, text string", [(1, "de", "Straße größe Europe europé perü péru peru europe europe"), (2, "es", "enormé perfectaménté señor año a")])
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    lex = [(r.word, r.n) for r in N.lexicon_counts(spark, str(tmp_path)).collect()]
+    assert sum(not w.isascii() for w, _ in lex) == 9
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    order = lambda core: sorted((distance(core, w), -n, w) for w, n in lex)
+    got = N.nearest_word_all(spark, str(tmp_path)).collect()
+    assert {r.core for r in got} == {"perü", "europe", "Strasse", "größer", "enorme", "perfectamente"}
+    for r in got:
+        best = order(r.core)
+        assert (r.dist, -r.n, r.word) == best[0] and r.ties == sum(d == r.dist for d, _, _ in best)
+    got = N.closest_words_all(spark, str(tmp_path)).collect()
+    assert sorted((r.core, r.place, r.word, r.dist) for r in got) == [(c, k, w, d) for c in ("europe", "perü") for k, (d, _, w) in enumerate(order(c)[:5], 1)]
+
+
 def test_scores(spark, damage):
     d = damage.where("k > 0")
     best = d.select("id", "severity", F.lit("best").alias("method"), F.transform(L.by_place(F.col("ops_per_word")), lambda p: p["gold"]).alias("pred_words"))

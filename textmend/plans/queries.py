@@ -374,6 +374,19 @@ def closest_words(spark, sf):
     return X.closest(_places(spark, sf), _ascii_lexicon(spark, sf), 5)
 
 
+@query()
+def nearest_word_all(spark, sf):
+    """nearest_word over the whole list, in which DuckDB can't count characters, for the places and the benchmark's words."""
+    words = _t(spark, sf, "benchmark").select(F.explode(T.words(F.col("text"))).alias("t")).select(T.slot_core(F.col("t")).alias("core")).where("core <> ''")
+    return X.nearest(_places(spark, sf).unionByName(words), X.build_lexicon(S.documents(spark, sf)))
+
+
+@query()
+def closest_words_all(spark, sf):
+    """closest_words over the whole list."""
+    return X.closest(_places(spark, sf), X.build_lexicon(S.documents(spark, sf)), 5)
+
+
 @query("SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 6) AS likeness FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def char_similarity(spark, sf):
     n = _t(spark, sf, "nation")
