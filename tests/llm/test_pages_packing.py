@@ -36,6 +36,16 @@ def test_blocks():
     assert blocks("a < b &eacute; &#233;") == [("a < b é é", [])]
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", '<svg width="1" />', "<math/>", "<select><option>", "<noscript>", "<object>", '<iframe src="x"/>', "<svg>"])
+def test_unclosed_elements_hide_nothing_after(tag):
+    assert [t for _, t, _ in H.blocks_of(f"<p>one</p>{tag}<p>two</p>")] == ["one", "two"]
+
+
+def test_svg_and_math():
+    assert [t for _, t, _ in H.blocks_of("<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p>")] == ["one", "two", "three"]
+    assert [t for _, t, _ in H.blocks_of("<p>for <math><semantics><mrow><mi>x</mi><mo>&lt;</mo><mn>2</mn></mrow><annotation>x</annotation></semantics></math> only</p>")] == ["for x<2 only"]
+
+
 def test_held_out_pages(model):
     right = total = 0
     for page, y in H.labelled_pages(150, 99):

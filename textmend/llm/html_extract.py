@@ -24,10 +24,12 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 #: Elements that don't part text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't text of the page.
-RAW = frozenset("script style noscript template textarea title select svg math iframe object".split())
+RAW = frozenset("script style noscript template textarea title select svg annotation annotation-xml iframe object".split())
+#: Of these, the ones that hide nothing but their start tag where no end tag follows.
+UNCLOSED = frozenset("noscript select svg annotation annotation-xml iframe object".split())
 #: An opening tag of the first kind ends an open element of these kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P = INLINE | {"p"}
@@ -95,8 +97,10 @@ def blocks_of(page: str) -> list[tuple[list, str, int]]:
                 fresh = True
             continue
         if tag in RAW:
+            if tag == "svg" and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else at if tag in UNCLOSED else n
             if tag in ("textarea", "select"):
                 fresh = True
             continue
