@@ -6,10 +6,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
+from textmend.llm import repeats as R
 from textmend.llm.ngram_jaccard import ngram_jaccard_join
+from textmend.llm.substring_dedup import equal_windows as tree_windows
 from textmend.llm.substring_dedup import substring_dedup, suffix_trees
 from textmend.llm.suffix_dedup import Prefixes, equal_windows, suffix_dedup, suffix_sort
 
@@ -124,6 +128,13 @@ def test_spans_give_what_stays(spark, rows):
         assert bytes(cut) == bytes(r.kept)
 
 
+def test_word_spans_end_with_their_text(spark):
+    """Copies side by side: each one's passage is a span of its own."""
+    text = " ".join(f"w{i}" for i in range(40))
+    for r in substring_dedup(frame(spark, [[i, text] for i in range(3)])).collect():
+        assert (list(r.span_starts), list(r.span_lengths), r.kept) == ([0], [40], "")
+
+
 @pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "bucket_bytes": 5000}])
 def test_substring_dedup(spark, rows, sizes):
     got = substring_dedup(frame(spark, rows), **sizes).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
@@ -188,18 +199,30 @@ def test_suffix_sort():
     text = rng.integers(97, 99, 600).astype(np.uint8)
     first = rng.permutation(500)
     segment = np.sort(rng.integers(0, 9, 500))
-    order = suffix_sort(Prefixes(text, 40), first, segment)
+    order = suffix_sort(Prefixes(text), first, segment, np.full(500, 40))
     raw = text.tobytes()
     for s in range(9):
         mine = [raw[first[i] : first[i] + 40] for i in order if segment[i] == s]
         assert mine == sorted(mine) and sorted(order.tolist()) == list(range(500))
-    number = equal_windows(text, first, segment, 6)
+    number = equal_windows(text, first, segment, np.full(500, 6))
     named = collections.defaultdict(set)
     for i in range(500):
         named[number[i]].add((int(segment[i]), raw[first[i] : first[i] + 6]))
     assert all(len(v) == 1 for v in named.values()) and len(named) == len({x for v in named.values() for x in v})
 
 
+def test_depths_may_differ_between_segments():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 99, 400).astype(np.uint8)
+    first, segment = rng.integers(0, 350, 300), np.sort(rng.integers(0, 20, 300))
+    depth = rng.integers(1, 40, 20)[segment]
+    raw = text.tobytes()
+    truth = np.unique([f"{s} {raw[a : a + d]}" for a, s, d in zip(first, segment, depth)], return_inverse=True)[1]
+    for f in (equal_windows, tree_windows, lambda *x: tree_windows(*x, most=8)):
+        number = f(text, first, segment, depth)
+        assert len(set(zip(number.tolist(), truth.tolist()))) == len(set(truth.tolist())) == len(set(number.tolist()))
+
+
 def test_collisions_are_found():
     """With hashes that all agree the bytes decide."""
     text = np.frombuffer(b"abcabcabdabc", np.uint8)
@@ -207,19 +230,77 @@ def test_collisions_are_found():
     import textmend.llm.suffix_dedup as S
 
     class Same(S.Prefixes):
-        def common(self, a, b):
-            return np.full(len(a), self.depth)
+        def common(self, a, b, depth):
+            return depth
 
     real, S.Prefixes = S.Prefixes, Same
     try:
-        n = S.equal_windows(text, first, segment, 3)
+        n = S.equal_windows(text, first, segment, np.full(4, 3))
     finally:
         S.Prefixes = real
     assert n[0] == n[1] == n[3] != n[2]
 
 
+def rounds(rows, spec, classes, chunks=3):
+    """All rounds of the repeat finder in this process: for each chunk, its texts and the stretches found."""
+    tables = [pa.table({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([t for _, t in part], pa.string()), "chunk": pa.array([c] * len(part), pa.int32())}) for c in range(chunks) for part in [rows[c::chunks]]]
+
+    def deal(found, by):
+        whole = pa.concat_tables(found)
+        return {k: whole.filter(pa.compute.equal(whole[by], k)) for k in sorted(set(whole[by].to_pylist()))}
+
+    told = [R.answer_anchors(spec, t) for t in deal([R.send_anchors(spec, t) for t in tables], "bucket").values()]
+    sent = [R.send_contexts(spec, classes, t, deal(told, "chunk").get(c, R.blobs([]))) for c, t in enumerate(tables)]
+    more = [R.answer_contexts(spec, classes, t) for t in deal(sent, "bucket").values()]
+    out = []
+    for c, t in enumerate(tables):
+        chunk = R.Chunk(t, spec)
+        first, end = R.covered(chunk, deal([*told, *more], "chunk").get(c, R.blobs([])), classes)
+        for i, (lo, hi) in enumerate(zip(chunk.lo.tolist(), chunk.hi.tolist())):
+            mine = (first >= lo) & (first < hi)
+            out.append((chunk.table["doc_id"][i].as_py(), hi - lo, int((end - first)[mine].sum())))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_the_method_decides_every_window(rows, words, monkeypatch):
+    """Hashes only rule out: if all of them agree the result is the same, and without the method nothing is found."""
+    rows = [r for i, r in enumerate(rows) if r[0] != 906 and r not in rows[:i]]
+    spec = R.Spec(12, 24, True, False, 3) if words else R.Spec(27, 24, False, True, 3)
+    method = tree_windows if words else equal_windows
+    want = sorted([x[:3] for x in (brute_words if words else brute_bytes)(rows)], key=str)
+    compared = []
+
+    def counted(symbols, first, segment, depth):
+        compared.append(len(first))
+        return method(symbols, first, segment, depth)
+
+    assert rounds(rows, spec, counted) == want and sum(compared) > 0
+    assert {x[2] for x in rounds(rows, spec, lambda symbols, first, segment, depth: np.arange(len(first)))} == {0}
+    real = R.find_runs
+    monkeypatch.setattr(R, "find_runs", lambda *a: real(*a) | {"ctx": np.zeros(len(real(*a)["js"]), np.uint64)})
+    monkeypatch.setattr(R.Chunk, "window_hashes", lambda self, at: np.zeros(len(at), np.uint64))
+    assert rounds(rows, spec, method) == want
+    few = R.Spec(spec.k, spec.w, spec.words, spec.first, 2, 0, 0)  # all windows are dealt out, to one place
+    assert rounds(rows, few, method) == want
+    monkeypatch.setattr(R, "find_runs", lambda *a: real(*a) | {"ctx": np.zeros(len(real(*a)["js"]), np.uint64), "key": real(*a)["key"] & np.uint64(7 << 45)})
+    assert rounds(rows, spec, method) == want
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id, or with one id, are dealt out by their texts too."""
+    rng = random.Random(9)
+    same = " ".join(f"s{rng.randrange(10**6)}" for _ in range(50))
+    for ident in (None, 7):
+        rows = [[ident, f"{same} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))] for _ in range(40)]
+        got = suffix_dedup(frame(spark, rows), chunk_bytes=2000).collect()
+        assert len(got) == 40 and all(r.n_removed == 0 for r in got)  # one document's copies, or none smaller
+        got = substring_dedup(frame(spark, rows), chunk_bytes=2000).collect()
+        assert all((r.n_words, r.n_removed) == (70, 50) for r in got)
+
+
 def test_suffix_trees():
     symbols = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9])
-    tree = suffix_trees(symbols, np.array([0, 3, 6, 2]), np.zeros(4, np.int64), 3)
+    tree = suffix_trees(symbols, np.array([0, 3, 6, 2]), np.zeros(4, np.int64), np.full(4, 3))
     assert sorted(tree["deep"].tolist()) == [0, 2] and tree["node"][0] == tree["node"][2] != tree["node"][1]
     assert tree["depth"][tree["node"][0]] == 3 and tree["parent"][tree["node"][0]] >= 0

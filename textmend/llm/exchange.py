@@ -11,9 +11,9 @@ def sized(docs: DataFrame, text: str) -> int:
     return docs.select(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
-def chunked(docs: DataFrame, columns: dict, key, chunks: int) -> DataFrame:
-    """The named columns and chunk, a number below chunks that depends on key alone."""
-    return docs.select(*(c.alias(n) for n, c in columns.items()), F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chunk"))
+def chunked(docs: DataFrame, columns: dict, key: list, chunks: int) -> DataFrame:
+    """The named columns and chunk, a number below chunks that depends on the key columns alone."""
+    return docs.select(*(c.alias(n) for n, c in columns.items()), F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int").alias("chunk"))
 
 
 def counts(total: int, chunk_bytes: int, bucket_bytes: int) -> tuple[int, int]:
@@ -22,27 +22,42 @@ def counts(total: int, chunk_bytes: int, bucket_bytes: int) -> tuple[int, int]:
 
 
 def shared_folder(spark) -> str:
-    """The folder that all executors share; one is set up where the session names none."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. In local mode, where the driver is the only
+    executor, one is set up if the session names none; on a cluster that is an error."""
     import tempfile
 
     told = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not told and context.getCheckpointDir() is None:
+    if told is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return told or context.getCheckpointDir()
 
 
+_LEFT: set = set()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from the shared folder from now on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, computed once and read from the shared folder from now on; the session's part of it goes at its end."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint()
+    own = spark.sparkContext.getCheckpointDir()
+    if own and own not in _LEFT:
+        _LEFT.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return out
 
 
 def summed(df: DataFrame, count, size: int):
     """The sum of count(batch), a vector of size numbers, over all rows; df's first column is a text. Each task sums up
-    its own rows, and the tasks' vectors are added in 8 parts."""
+    its own rows. The tasks' vectors are added in 8 parts and in levels, at most 256 of them at once, so no task's input
+    grows with the number of tasks (up to 2**24 of them)."""
     import numpy as np
     import pyarrow as pa
+    from pyspark import TaskContext
 
     from .arrays import lean, pieces
 
@@ -53,12 +68,16 @@ def summed(df: DataFrame, count, size: int):
             for part in pieces(batch, 0):
                 total += count(part)
         cut = np.array_split(total, 8)
-        yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["part", "total"])
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([task] * 8, pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["part", "task", "total"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table["total"].to_pylist())
-        return pa.table({"part": pa.array(table["part"].to_pylist()[:1], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array(table["part"].to_pylist()[:1], pa.int32()), "task": pa.array(table["task"].to_pylist()[:1], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "part int, total binary"
-    rows = df.mapInArrow(each, schema).groupBy("part").applyInArrow(add, schema).collect()
+    schema = "part int, task int, total binary"
+    rows = df.mapInArrow(each, schema)
+    for _ in range(3):
+        rows = rows.withColumn("task", F.shiftright("task", 8)).groupBy("part", "task").applyInArrow(add, schema)
+    rows = rows.collect()
     return np.concatenate([np.frombuffer(r.total, np.int64) for r in sorted(rows)]) if rows else np.zeros(size, np.int64)

@@ -324,7 +324,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     num, den = round(similarity * 100), 100
     rarity = shingle_counts(docs, text_col, words)
     chunks, buckets = counts(sized(docs, text_col), chunk_bytes, bucket_bytes)
-    rows = chunked(docs, {"text": F.col(text_col).cast("string")}, F.col(id_col), chunks)
+    rows = chunked(docs, {"text": F.col(text_col).cast("string")}, [F.col(id_col), F.col(text_col).cast("string")], chunks)
     blob = "bucket int, chunk int, payload binary"
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 

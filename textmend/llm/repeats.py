@@ -2,15 +2,19 @@
 
 A window is a string of k + w - 1 symbols (bytes or words). Among its w substrings of k symbols, the leftmost with the
 smallest hash is its anchor, so equal windows have equal anchors at equal places. Successive windows with the same anchor
-form a run; the run's text is its context. In the first round every run sends two hashes, of its anchor and of its
-context, to the anchor's bucket. Anchors that occur once are done with, and so are those that always have the same
-context. Only where an anchor has different contexts (mostly at the edges of a repeated passage) the texts of these
-contexts are sent in a second round, one for each different context, to be compared symbol by symbol. An anchor with very
-many contexts sends its windows one by one instead, dealt out by the hash of the whole window.
-
-What a chunk sends is summed up first: one entry for each different context, so a passage that a third of all documents
-hold gives each bucket at most one entry from each chunk. Chunks and buckets have a bounded size, and every step depends
-only on its input, so lost executors cost a recomputation of their part and nothing else.
+form a run; the run's text is its context, of which the anchor is a part.
+
+The first round only rules out: every chunk sends the hash of each of its anchors, once, and learns which of them occur
+elsewhere too. A window whose anchor doesn't can't be repeated. In the second round the texts of all other contexts are
+compared, by the operator's own method (classes): first within the chunk, which then sends one text for each different
+context, then in the anchor's bucket. There equal contexts are found first, and where an anchor has different ones (mostly
+at the edges of a repeated passage), all their windows are compared. So no window is ever called repeated but by the
+method, on its text; hashes tell apart, they never tell alike.
+
+An anchor with very many contexts sends its windows one by one instead, dealt out by the hash of the whole window. A
+passage that a third of all documents hold gives its bucket at most one text from each chunk. Chunks and buckets have a
+bounded size, and every step depends only on its input, so lost executors cost a recomputation of their part and nothing
+else.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ BLOB = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("payload", pa.
 @dataclass(frozen=True)
 class Spec:
     """words: symbols are words, else bytes. first: a window counts as repeated in a document if a smaller id has it, else
-    if it occurs at any other place. local_hot and hot: contexts of one anchor, in a chunk and in all, beyond which its
-    windows are dealt out one by one (the result is the same)."""
+    if it occurs at any other place. local_hot: contexts of one anchor in a chunk, and hot: different marks (of 256) of an
+    anchor's contexts in all chunks, beyond which its windows are dealt out one by one (the result is the same)."""
 
     k: int
     w: int
@@ -45,7 +49,7 @@ class Spec:
     first: bool
     buckets: int
     local_hot: int = 32
-    hot: int = 256
+    hot: int = 160
 
     @property
     def window(self) -> int:
@@ -103,7 +107,7 @@ def find_runs(sym: Callable, n: int, starts: np.ndarray, ends: np.ndarray, k: in
 
 
 class Chunk:
-    """The texts of a chunk in a fixed order, their runs, and the entries that sum them up."""
+    """The texts of a chunk in a fixed order, their runs, and their different anchors."""
 
     def __init__(self, table: pa.Table, spec: Spec):
         lean()
@@ -126,52 +130,50 @@ class Chunk:
         r = self.runs = find_runs(sym, n, self.lo, self.hi, spec.k, spec.w)
         row = np.searchsorted(self.hi, r["js"], "right")  # a run ends before its document does
         self.doc = ids[row]
-        self._sum_up()
-
-    def _sum_up(self) -> None:
-        r, spec = self.runs, self.spec
+        # runs in the order of their anchors, and the different anchors
         self.by = by = np.argsort(r["key"], kind="stable")
-        key = r["key"][by]
+        key, doc = r["key"][by], self.doc[by]
         new = starts_of(key)
-        shared = ~new
-        shared[:-1] |= ~new[1:]
-        some = np.flatnonzero(shared)  # only where an anchor occurs again the order of its runs matters
-        rows = by[some]
-        by[some] = rows[np.lexsort((self.doc[rows], r["ctx"][rows], key[some]))]
-        ctx, doc = r["ctx"][by], self.doc[by]
-        g0 = np.flatnonzero(new | starts_of(ctx))
-        g1 = np.append(g0[1:], len(by))[: len(g0)]
-        nkey = new[g0]
-        ofkey = np.cumsum(nkey) - 1 if len(g0) else g0
-        hot = np.bincount(ofkey)[ofkey] > spec.local_hot if len(g0) else np.zeros(0, bool)
-        keep = ~hot | nkey
-        self.e_run, e1, self.e_hot = g0[keep], g1[keep], hot[keep]
-        self.e_key = key[self.e_run]
-        self.e_ctx = np.where(self.e_hot, U(0), ctx[self.e_run])
-        self.e_doc = doc[self.e_run]
-        several = doc[e1 - 1] != self.e_doc if spec.first else (e1 - self.e_run) > 1
-        self.e_flag = np.where(self.e_hot, 2, several).astype(np.uint8)
-        self.e_bucket = (self.e_key * U(spec.buckets) >> U(48)).astype(np.int64)  # in the order of keys
-        # entry of each sorted run
-        seen = np.zeros(len(by), np.int64)
-        seen[self.e_run] = 1
-        self.entry = np.cumsum(seen) - 1
+        self.at = g0 = np.flatnonzero(new)
+        self.anchor = np.cumsum(new) - 1
+        self.key = key[g0]
+        self.size = np.diff(np.append(g0, len(by)))
+        if spec.first:
+            self.several = np.minimum.reduceat(doc, g0) != np.maximum.reduceat(doc, g0) if len(g0) else g0 > 0
+        else:
+            self.several = self.size > 1
+        self.bucket = (self.key * U(spec.buckets) >> U(48)).astype(np.int64)  # in the order of keys
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """A byte for each anchor that stands for its set of contexts, and whether they are too many for a chunk."""
+        ctx = self.runs["ctx"][self.by]
+        mark = (ctx[self.at] >> U(32)).astype(np.uint8) if len(self.at) else np.zeros(0, np.uint8)
+        many = np.zeros(len(self.at), bool)
+        some = self.size > 1  # only where an anchor occurs again its contexts have to be counted
+        rows = np.flatnonzero(some[self.anchor])
+        if len(rows):
+            own = self.anchor[rows]
+            by = np.lexsort((ctx[rows], own))
+            own, c = own[by], ctx[rows][by]
+            new = starts_of(own, c)
+            own, c = own[new], c[new]
+            at = np.flatnonzero(starts_of(own))
+            mark[own[at]] = (mix(np.add.reduceat(c, at)) >> U(56)).astype(np.uint8)
+            many[own[at]] = np.diff(np.append(at, len(own))) > self.spec.local_hot
+        return mark, many
 
     def parts(self):
-        """Bucket, first and end of its entries."""
-        if len(self.e_bucket):
-            at = np.flatnonzero(starts_of(self.e_bucket))
-            yield from zip(self.e_bucket[at].tolist(), at.tolist(), np.append(at[1:], len(self.e_bucket)).tolist())
+        """Bucket, first and end of its anchors."""
+        if len(self.bucket):
+            at = np.flatnonzero(starts_of(self.bucket))
+            yield from zip(self.bucket[at].tolist(), at.tolist(), np.append(at[1:], len(self.bucket)).tolist())
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All windows of the runs: first symbol, and place in runs."""
         n = self.runs["nwin"][runs]
         return ranges(self.runs["js"][runs], n), np.repeat(np.arange(len(runs)), n)
 
-    def hot_windows(self, hot: np.ndarray) -> dict:
-        """hot: entries whose windows are dealt out. Windows of their runs and the different ones among them."""
-        runs = self.by[hot[self.entry]] if len(self.by) else self.by
-        at, which = self.windows(runs)
+    def window_hashes(self, at: np.ndarray) -> np.ndarray:
         W = self.spec.window
         hashes = np.empty(len(at), U)
         pw = powers(W)[0]
@@ -179,225 +181,255 @@ class Chunk:
             index = at[i : i + (1 << 14), None] + np.arange(W)
             block = self.values[index] if self.spec.words else byte_values()[self.data[index]]
             hashes[i : i + (1 << 14)] = mix((block * pw).sum(axis=1, dtype=U))
-        doc = self.doc[runs][which] if len(runs) else at
-        by = np.lexsort((doc, hashes))
-        new = starts_of(hashes[by])
-        g0 = np.flatnonzero(new)
-        g1 = np.append(g0[1:], len(by))[: len(g0)]
-        several = doc[by][g1 - 1] != doc[by][g0] if self.spec.first else (g1 - g0) > 1
-        group = np.empty(len(at), np.int64)
-        group[by] = np.cumsum(new) - 1 if len(by) else 0
-        return {"at": at, "doc": doc, "group": group, "rep": at[by][g0], "hash": hashes[by][g0], "min": doc[by][g0], "several": several}
+        return hashes
 
-    def text(self, first: int, size: int) -> bytes:
-        """size symbols; words with one space between."""
+    def texts(self, first: np.ndarray, size: np.ndarray) -> bytes:
+        """The texts of size symbols from first on, one after another; each word is followed by a space."""
         if not self.spec.words:
-            return self.data[first : first + size].tobytes()
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.first[first : first + size].tolist(), self.last[first : first + size].tolist()))
+            return self.data[ranges(first, size)].tobytes()
+        words = ranges(first, size)
+        n = self.last[words] - self.first[words] + 1  # with the byte after it, which is white space
+        out = self.data[ranges(self.first[words], n)].copy()
+        out[np.cumsum(n) - 1] = 32
+        return out.tobytes()
 
 
-def send_entries(spec: Spec, table: pa.Table) -> pa.Table:
-    chunk = Chunk(table, spec)
-    number = table["chunk"][0].as_py()
-    rows = [(b, number, np.int32(z - a).tobytes() + planes(chunk.e_key[a:z], 6) + planes(chunk.e_ctx[a:z], 5) + planes(chunk.e_doc[a:z], 8) + chunk.e_flag[a:z].tobytes()) for b, a, z in chunk.parts()]
-    return blobs(rows)
+def symbols_of(spec: Spec, text: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of such texts (words as numbers, equal ones alike), and where each text starts."""
+    if spec.words:
+        known: dict = {}
+        symbols = np.fromiter((known.setdefault(x, len(known)) for x in text[:-1].split(b" ")), np.int64) if text else np.zeros(0, np.int64)
+    else:
+        symbols = np.frombuffer(text, np.uint8)
+    return symbols, np.cumsum(size, dtype=np.int64) - size
+
+
+def alike(spec: Spec, classes: Callable, texts: Callable, depth: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Numbers the texts of depth symbols, equal ones alike. Only texts with equal keys and depths can be equal; texts(rows)
+    gives the texts of some rows, one after another."""
+    out = np.empty(len(depth), np.int64)
+    by = np.lexsort((*keys, depth))
+    segment = np.cumsum(starts_of(depth[by], *(k[by] for k in keys))) - 1
+    alone = np.bincount(segment)[segment] == 1 if len(by) else np.zeros(0, bool)
+    out[by[alone]] = np.arange(int(alone.sum()))
+    rest = by[~alone]
+    if len(rest):
+        symbols, first = symbols_of(spec, texts(rest), depth[rest])
+        out[rest] = classes(symbols, first, np.cumsum(starts_of(segment[~alone])) - 1, depth[rest]) + int(alone.sum())
+    return out
+
+
+class Contexts:
+    """What a chunk sends in the second round: each different context of its anchors that occur again, and each different
+    window of those that are dealt out. state of the anchors: 1 is compared, 2 is dealt out, 0 is ruled out."""
+
+    def __init__(self, chunk: Chunk, state: np.ndarray, classes: Callable):
+        spec, r, W = chunk.spec, chunk.runs, chunk.spec.window
+        told = state[chunk.anchor] if len(chunk.anchor) else np.zeros(0, np.uint8)
+        self.run = chunk.by[told == 1]
+        size = r["nwin"][self.run] + W - 1
+        own = alike(spec, classes, lambda i: chunk.texts(r["js"][self.run[i]], size[i]), size, r["off"][self.run], r["ctx"][self.run], r["key"][self.run])
+        dealt = chunk.by[told == 2]
+        self.at, which = chunk.windows(dealt)
+        hashes = chunk.window_hashes(self.at)
+        full = np.full(len(self.at), W)
+        each = alike(spec, classes, lambda i: chunk.texts(self.at[i], full[i]), full, hashes)
+        runs, wins = len(self.run), len(self.at)
+        # runs and windows together, in the order of their entries
+        doc = np.concatenate([chunk.doc[self.run], chunk.doc[dealt][which]])
+        number = np.concatenate([own, each + (int(own.max()) + 1 if runs else 0)])
+        by = np.lexsort((doc, number))
+        new = starts_of(number[by])
+        g0 = np.flatnonzero(new)
+        self.entry = np.empty(len(by), np.int64)
+        self.entry[by] = np.cumsum(new) - 1
+        rep, self.doc = by[g0], doc[by][g0]
+        g1 = np.append(g0[1:], len(by))[: len(g0)]
+        self.several = doc[by][g1 - 1] != self.doc if spec.first else (g1 - g0) > 1
+        self.later = doc > self.doc[self.entry] if spec.first else np.zeros(len(by), bool)
+        self.dealt = rep >= runs
+        join = lambda a, b: np.concatenate([a, b])[rep]
+        self.seg = join(r["key"][self.run], hashes)
+        self.js, self.nwin = join(r["js"][self.run], self.at), join(r["nwin"][self.run], np.ones(wins, np.int64))
+        self.off = join(r["off"][self.run], np.zeros(wins, np.int64))
 
 
 def blobs(rows: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else ((), (), ()), BLOB)], schema=BLOB)
 
 
-def answer_entries(spec: Spec, table: pa.Table) -> pa.Table:
-    """For a bucket: which entries are repeated (code 1, with the smallest document), whose text is needed (2) or windows (4)."""
+def send_anchors(spec: Spec, table: pa.Table) -> pa.Table:
+    """For each bucket the hashes of the chunk's anchors, in order, as differences, each with its mark and two flags."""
+    chunk = Chunk(table, spec)
+    number = table["chunk"][0].as_py()
+    mark, many = chunk.marks()
+    rows = []
+    for b, a, z in chunk.parts():
+        key = chunk.key[a:z].copy()
+        key[1:] -= chunk.key[a : z - 1]
+        rows.append((b, number, np.int32(z - a).tobytes() + planes(key, 6) + mark[a:z].tobytes() + np.packbits(np.concatenate([chunk.several[a:z], many[a:z]])).tobytes()))
+    return blobs(rows)
+
+
+def answer_anchors(spec: Spec, table: pa.Table) -> pa.Table:
+    """For a bucket: the state of each chunk's anchors. One that is in one chunk only, and there in one document (or place)
+    only, is ruled out."""
     lean()
-    parts = []
-    for c, raw in zip(table["chunk"].to_pylist(), table["payload"].to_pylist()):
+    parts, size = [], []
+    for raw in table["payload"].to_pylist():
         n = int(np.frombuffer(raw, np.int32, 1)[0])
-        parts.append((unplanes(raw, n, 6, 4), unplanes(raw, n, 5, 4 + 6 * n), unplanes(raw, n, 8, 4 + 11 * n).view(np.int64), np.frombuffer(raw, np.uint8, n, 4 + 19 * n), np.full(n, c), np.arange(n)))
-    key, ctx, doc, flag, chunk, index = map(np.concatenate, zip(*parts))
-    by = np.argsort(key, kind="stable")
-    again = ~starts_of(key[by])
-    again[:-1] |= again[1:]
-    by = by[again | (flag[by] > 0)]  # an anchor that occurs once is done with
-    if not len(by):
-        return blobs([])
-    by = by[np.lexsort((chunk[by], doc[by], ctx[by], key[by]))]
-    key, ctx, doc, flag, chunk, index = (x[by] for x in (key, ctx, doc, flag, chunk, index))
-    k0 = np.flatnonzero(starts_of(key))
-    size = np.diff(np.append(k0, len(key)))
-    any_hot = np.maximum.reduceat(flag, k0) == 2
-    many = np.maximum.reduceat(flag, k0) > 0
-    if spec.first:
-        live = many | (np.minimum.reduceat(doc, k0) != np.maximum.reduceat(doc, k0))
-    else:
-        live = many | (size > 1)
-    new = starts_of(key, ctx)
-    different = np.add.reduceat(new.astype(np.int64), k0)
-    hot = np.repeat(live & (any_hot | (different > spec.hot)), size)
-    plain = np.repeat(live, size) & ~hot
+        flags = np.unpackbits(np.frombuffer(raw, np.uint8, -1, 4 + 7 * n), count=2 * n).astype(bool)
+        parts.append((np.cumsum(unplanes(raw, n, 6, 4)), np.frombuffer(raw, np.uint8, n, 4 + 6 * n), flags[:n], flags[n:]))
+        size.append(n)
+    key, mark, several, many = map(np.concatenate, zip(*parts))
+    by = np.lexsort((mark, key))
+    new = starts_of(key[by])
     g0 = np.flatnonzero(new)
-    gsize = np.diff(np.append(g0, len(key)))
-    least = np.repeat(doc[g0], gsize)
-    if spec.first:
-        full = plain & ((doc > least) | (flag == 1))
-    else:
-        full = plain & (np.repeat(gsize > 1, gsize) | np.repeat(np.maximum.reduceat(flag, g0) == 1, gsize))
-    code = full.astype(np.uint8)
-    code[new & plain & np.repeat(different > 1, size)] |= 2
-    code[hot] = 4
-    tell = np.flatnonzero(code)
-    tell = tell[np.argsort(chunk[tell], kind="stable")]
-    bucket = table["bucket"][0].as_py()
+    live = (np.diff(np.append(g0, len(by))) > 1) | np.logical_or.reduceat(several[by], g0)
+    hot = np.logical_or.reduceat(many[by], g0) | (np.add.reduceat(starts_of(key[by], mark[by]).astype(np.int64), g0) > spec.hot)
+    state = np.empty(len(by), np.uint8)
+    state[by] = np.where(live, np.where(hot, 2, 1), 0).astype(np.uint8)[np.cumsum(new) - 1]
+    ends = np.cumsum(size)
     rows = []
-    at = np.flatnonzero(starts_of(chunk[tell])) if len(tell) else []
-    for a, z in zip(at, np.append(at[1:], len(tell)) if len(tell) else []):
-        t = tell[a:z]
-        t = t[np.argsort(index[t])]
-        rows.append((bucket, int(chunk[t[0]]), np.int32(len(t)).tobytes() + planes(index[t], 4) + code[t].tobytes() + planes(np.where(code[t] & 1, least[t], 0), 8)))
+    for b, c, z, n in zip(table["bucket"].to_pylist(), table["chunk"].to_pylist(), ends.tolist(), size):
+        mine = state[z - n : z]
+        if mine.any():
+            rows.append((b, c, np.packbits(np.concatenate([mine == 1, mine == 2])).tobytes()))
     return blobs(rows)
 
 
-def take_codes(chunk: Chunk, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Code and smallest document of each entry."""
-    code, least = np.zeros(len(chunk.e_key), np.uint8), np.zeros(len(chunk.e_key), np.int64)
-    base = {b: a for b, a, _ in chunk.parts()}
+def take_states(chunk: Chunk, replies: pa.Table) -> np.ndarray:
+    """The state of each anchor."""
+    state = np.zeros(len(chunk.key), np.uint8)
+    span = {b: (a, z) for b, a, z in chunk.parts()}
     for b, raw in zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist()):
-        if b < 0:
-            continue
-        n = int(np.frombuffer(raw, np.int32, 1)[0])
-        at = base[b] + unplanes(raw, n, 4, 4).astype(np.int64)
-        code[at] = np.frombuffer(raw, np.uint8, n, 4 + 4 * n)
-        least[at] = unplanes(raw, n, 8, 4 + 5 * n).view(np.int64)
-    return code, least
+        if b >= 0:
+            a, z = span[b]
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * (z - a))
+            state[a:z] = bits[: z - a] + 2 * bits[z - a :]
+    return state
 
 
-def send_contexts(spec: Spec, table: pa.Table, replies: pa.Table) -> pa.Table:
+def send_contexts(spec: Spec, classes: Callable, table: pa.Table, replies: pa.Table) -> pa.Table:
     if not len(table) or not len(replies):
         return blobs([])
     chunk = Chunk(table, spec)
-    code, _ = take_codes(chunk, replies)
-    need = np.flatnonzero(code & 2)
-    runs = chunk.by[chunk.e_run[need]]
-    r, W = chunk.runs, spec.window
-    hot = chunk.hot_windows(code == 4)
-    # a window that is dealt out is a context of one window
-    seg = np.concatenate([chunk.e_key[need], hot["hash"]])
-    at = np.concatenate([r["js"][runs], hot["rep"]])
-    nwin = np.concatenate([r["nwin"][runs], np.ones(len(hot["rep"]), np.int64)])
-    off = np.concatenate([r["off"][runs], np.zeros(len(hot["rep"]), np.int64)])
-    doc = np.concatenate([chunk.e_doc[need], hot["min"]])
-    several = np.concatenate([chunk.e_flag[need] == 1, hot["several"]])
-    ident = np.concatenate([need, np.arange(len(hot["rep"]))])
-    dealt = np.concatenate([np.zeros(len(need), bool), np.ones(len(hot["rep"]), bool)])
-    bucket = (mix(seg) % U(spec.buckets)).astype(np.int64)
+    c = Contexts(chunk, take_states(chunk, replies), classes)
+    bucket = (mix(c.seg) % U(spec.buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     rows, number = [], table["chunk"][0].as_py()
     cut = np.flatnonzero(starts_of(bucket[by])) if len(by) else []
     for a, z in zip(cut, np.append(cut[1:], len(by)) if len(by) else []):
         t = by[a:z]
-        texts = [chunk.text(x, y) for x, y in zip(at[t].tolist(), (nwin[t] + W - 1).tolist())]
-        body = {"seg": seg[t], "nwin": nwin[t].astype(np.uint8), "off": off[t].astype(np.uint8), "doc": doc[t], "several": several[t], "id": ident[t].astype(np.uint32), "dealt": dealt[t], "size": np.array([len(x) for x in texts], np.uint32), "text": zlib.compress(b"".join(texts), 1)}
-        rows.append((int(bucket[t[0]]), number, pickle.dumps(body, 5)))
+        size = c.nwin[t] + spec.window - 1
+        body = {"seg": c.seg[t], "nwin": c.nwin[t].astype(np.uint8), "off": c.off[t].astype(np.uint8), "doc": c.doc[t], "several": c.several[t], "id": t.astype(np.uint32), "dealt": c.dealt[t]}
+        rows.append((int(bucket[t[0]]), number, zlib.compress(pickle.dumps((body, chunk.texts(c.js[t], size)), 5), 1)))
     return blobs(rows)
 
 
 def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
-    """For a bucket: which windows of each context are repeated, as bits; for windows dealt out one by one the smallest document.
-    classes(symbols, first, segment, window) numbers the windows, equal ones alike."""
+    """For a bucket: which windows of each context are repeated, as bits. classes(symbols, first, segment, depth) numbers the
+    texts of depth symbols at first, equal ones in a segment alike; it's the operator's method."""
     lean()
-    bodies = [pickle.loads(x) for x in table["payload"].to_pylist()]
+    bodies, texts = zip(*(pickle.loads(zlib.decompress(x)) for x in table["payload"].to_pylist()))
     numbers = table["chunk"].to_pylist()
-    e = {k: np.concatenate([b[k] for b in bodies]) for k in ("seg", "nwin", "off", "doc", "several", "id", "dealt", "size")}
+    e = {k: np.concatenate([b[k] for b in bodies]) for k in ("seg", "nwin", "off", "doc", "several", "id", "dealt")}
     chunk = np.repeat(numbers, [len(b["seg"]) for b in bodies])
-    text = b"".join(zlib.decompress(b["text"]) for b in bodies)
-    if spec.words:
-        known: dict = {}
-        at, symbols, base = 0, [], []
-        for size in e["size"].tolist():
-            base.append(len(symbols))
-            symbols.extend(known.setdefault(x, len(known)) for x in text[at : at + size].split(b" "))
-            at += size
-        symbols, base = np.array(symbols, np.int64), np.array(base, np.int64)
-    else:
-        symbols = np.frombuffer(text, np.uint8)
-        base = np.cumsum(e["size"], dtype=np.int64) - e["size"]
-    nwin = e["nwin"].astype(np.int64)
-    which = np.repeat(np.arange(len(nwin)), nwin)
-    place = ranges(np.zeros(len(nwin), np.int64), nwin)
-    shift = e["off"].astype(np.int64)[which] - place + 64
-    # contexts of one anchor are compared where the anchor lies at the same place
-    by = np.lexsort((shift, e["seg"][which], e["dealt"][which]))
-    segment = np.cumsum(starts_of(e["seg"][which][by], shift[by], e["dealt"][which][by])) - 1
+    nwin, off = e["nwin"].astype(np.int64), e["off"].astype(np.int64)
+    size = nwin + spec.window - 1
+    symbols, base = symbols_of(spec, b"".join(texts), size)
+    del texts, bodies
+    # equal contexts: those of one anchor (or window) at the same place, of the same size
+    by = np.lexsort((nwin, off, e["dealt"], e["seg"]))
+    segment = np.cumsum(starts_of(e["seg"][by], e["dealt"][by], off[by], nwin[by])) - 1
     alone = np.bincount(segment)[segment] == 1
-    several = e["several"][which]
-    low = e["doc"][which]
-    class_of = np.empty(len(which), np.int64)
-    class_of[by[alone]] = np.arange(int(alone.sum()))
+    own = np.empty(len(by), np.int64)
+    own[by[alone]] = np.arange(int(alone.sum()))
     rest = by[~alone]
     if len(rest):
-        seg = np.cumsum(starts_of(segment[~alone])) - 1
-        class_of[rest] = classes(symbols, base[which[rest]] + place[rest], seg, spec.window) + int(alone.sum())
-    n = int(class_of.max()) + 1
+        own[rest] = classes(symbols, base[rest], np.cumsum(starts_of(segment[~alone])) - 1, size[rest]) + int(alone.sum())
+    n = int(own.max()) + 1
+    rep = np.empty(n, np.int64)
+    rep[own] = np.arange(len(own))
     if spec.first:
-        least = np.full(n, LAST)
-        np.minimum.at(least, class_of, low)
-        repeated = least[class_of] < low
-        out = least[class_of]
+        low = np.full(n, LAST)
+        np.minimum.at(low, own, e["doc"])
     else:
-        times = np.bincount(class_of, weights=1 + several, minlength=n)
-        repeated = times[class_of] > 1
-        out = repeated.astype(np.int64)
-    mask = np.zeros(len(nwin), np.uint64)
-    np.bitwise_or.at(mask, which[repeated], U(1) << place[repeated].astype(U))
-    value = np.zeros(len(nwin), np.int64)
-    value[which[place == 0]] = out[place == 0]
+        times = np.bincount(own, weights=1 + e["several"], minlength=n).astype(np.int64)
+    # where an anchor has one context, its windows are repeated as it is
+    whole = (low[own] < e["doc"]) if spec.first else times[own] > 1
+    mask = np.where(whole, (U(1) << nwin.astype(U)) - U(1), U(0))
+    # where it has several, their windows are compared where the anchor lies at the same place
+    by = np.lexsort((e["seg"][rep], e["dealt"][rep]))
+    group = np.cumsum(starts_of(e["seg"][rep][by], e["dealt"][rep][by])) - 1
+    mixed = np.zeros(n, bool)
+    mixed[by] = np.bincount(group)[group] > 1
+    some = np.flatnonzero(mixed)
+    if len(some):
+        r = rep[some]
+        at = np.cumsum(nwin[r]) - nwin[r]  # where each context's windows are listed
+        which = np.repeat(np.arange(len(r)), nwin[r])
+        place = np.arange(len(which)) - at[which]
+        shift = off[r][which] - place + 64
+        by = np.lexsort((shift, e["seg"][r][which], e["dealt"][r][which]))
+        segment = np.cumsum(starts_of(e["seg"][r][which][by], shift[by], e["dealt"][r][which][by])) - 1
+        alone = np.bincount(segment)[segment] == 1
+        cls = np.empty(len(which), np.int64)
+        cls[by[alone]] = np.arange(int(alone.sum()))
+        rest = by[~alone]
+        if len(rest):
+            first = base[r][which[rest]] + place[rest]
+            cls[rest] = classes(symbols, first, np.cumsum(starts_of(segment[~alone])) - 1, np.full(len(rest), spec.window)) + int(alone.sum())
+        m = int(cls.max()) + 1
+        if spec.first:
+            least = np.full(m, LAST)
+            np.minimum.at(least, cls, low[some][which])
+        else:
+            count = np.bincount(cls, weights=times[some][which], minlength=m)
+        index = np.full(n, -1)
+        index[some] = np.arange(len(some))
+        ent = np.flatnonzero(mixed[own])
+        c = index[own[ent]]
+        wide = np.repeat(np.arange(len(ent)), nwin[ent])
+        win = ranges(at[c], nwin[ent])
+        repeated = least[cls[win]] < e["doc"][ent][wide] if spec.first else count[cls[win]] > 1
+        mask[ent] = 0
+        np.bitwise_or.at(mask, ent[wide[repeated]], U(1) << place[win[repeated]].astype(U))
     rows = []
     for c in dict.fromkeys(numbers):
-        t = np.flatnonzero((chunk == c) & (e["dealt"] | (mask > 0)))
+        t = np.flatnonzero((chunk == c) & (mask > 0))
         if len(t):
-            rows.append((-1, c, pickle.dumps((e["id"][t], e["dealt"][t], mask[t], value[t]), 5)))
+            rows.append((-1, c, zlib.compress(pickle.dumps((e["id"][t], mask[t].astype(np.uint32) if spec.w <= 32 else mask[t]), 5), 1)))
     return blobs(rows)
 
 
-def covered(chunk: Chunk, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def covered(chunk: Chunk, replies: pa.Table, classes: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Maximal stretches of symbols covered by repeated windows: firsts and ends, in order."""
-    spec, r, W = chunk.spec, chunk.runs, chunk.spec.window
-    code, least = take_codes(chunk, replies)
-    entry = chunk.entry
-    doc = chunk.doc[chunk.by]
-    full = (code[entry] & 1) == 1 if len(entry) else np.zeros(0, bool)
-    if spec.first:
-        full &= doc > least[entry]
-    runs = chunk.by[full]
-    first, end = [r["js"][runs]], [r["js"][runs] + r["nwin"][runs] + W - 1]
-    mask, value = np.zeros(len(code), U), {}
+    r, W = chunk.runs, chunk.spec.window
+    c = Contexts(chunk, take_states(chunk, replies), classes)
+    mask = np.zeros(len(c.doc), U)
     for b, raw in zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist()):
         if b < 0:
-            ident, dealt, bits, values = pickle.loads(raw)
-            mask[ident[~dealt]] = bits[~dealt]
-            value.update(zip(ident[dealt].tolist(), values[dealt].tolist()))
-    some = mask[entry] > 0 if len(entry) else np.zeros(0, bool)
-    if spec.first:
-        some &= doc == chunk.e_doc[entry]
-    runs = chunk.by[some]
-    at, which = chunk.windows(runs)
-    on = (mask[entry][some][which] >> (at - r["js"][runs][which]).astype(U)) & U(1) == 1 if len(at) else np.zeros(0, bool)
-    first.append(at[on])
-    end.append(at[on] + W)
-    if (code == 4).any():
-        hot = chunk.hot_windows(code == 4)
-        told = np.array([value.get(i, LAST if spec.first else 0) for i in range(len(hot["rep"]))], np.int64)
-        on = hot["doc"] > told[hot["group"]] if spec.first else told[hot["group"]] > 0
-        first.append(hot["at"][on])
-        end.append(hot["at"][on] + W)
-    first, end = np.concatenate(first), np.concatenate(end)
+            ident, bits = pickle.loads(zlib.decompress(raw))
+            mask[ident] = bits
+    runs = len(c.run)
+    told = mask[c.entry] if len(c.entry) else np.zeros(0, U)
+    # a document after the first one that has the context here repeats it as a whole
+    later = c.run[c.later[:runs]]
+    first, end = [r["js"][later]], [r["js"][later] + r["nwin"][later] + W - 1]
+    some = ~c.later[:runs] & (told[:runs] > 0)
+    at, which = chunk.windows(c.run[some])
+    on = (told[:runs][some][which] >> (at - r["js"][c.run[some]][which]).astype(U)) & U(1) == 1
+    on = np.concatenate([on, c.later[runs:] | (told[runs:] > 0)])
+    at = np.concatenate([at, c.at])[on]
+    first, end = np.concatenate([*first, at]), np.concatenate([*end, at + W])
     if not len(first):
         return first, end
     by = np.argsort(first, kind="stable")
     first, end = first[by], np.maximum.accumulate(end[by])
     new = np.ones(len(first), bool)
-    new[1:] = first[1:] > end[:-1]
-    # texts lie apart by a separator, so stretches of different texts never touch
+    row = np.searchsorted(chunk.hi, first, "right")  # stretches of different texts may touch
+    new[1:] = (first[1:] > end[:-1]) | (row[1:] != row[:-1])
     last = np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)
     return first[new], end[last]
 
@@ -406,25 +438,25 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, spec: Callable, cl
     """Runs the rounds; finish(chunk, firsts, ends) makes the result's rows. spec(buckets) gives the Spec."""
     chunks, buckets = counts(sized(docs, text_col), chunk_bytes, bucket_bytes)
     s = spec(buckets)
-    rows = chunked(docs, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string"), "text_hash": F.xxhash64(F.col(text_col).cast("string"))}, F.col(id_col), chunks)
+    rows = chunked(docs, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string"), "text_hash": F.xxhash64(F.col(text_col).cast("string"))}, [F.col(id_col), F.col(text_col).cast("string")], chunks)
     blob = "bucket int, chunk int, payload binary"
 
     # named here, so that they are plain functions of tables for Spark
     def one(table: pa.Table) -> pa.Table:
-        return send_entries(s, table)
+        return send_anchors(s, table)
 
     def two(table: pa.Table) -> pa.Table:
-        return answer_entries(s, table)
+        return answer_anchors(s, table)
 
     def three(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return send_contexts(s, table, replies)
+        return send_contexts(s, classes, table, replies)
 
     def four(table: pa.Table) -> pa.Table:
         return answer_contexts(s, classes, table)
 
     def five(table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, s)
-        return finish(chunk, *covered(chunk, replies))
+        return finish(chunk, *covered(chunk, replies, classes))
 
     by_chunk = rows.groupBy("chunk")
     told = by_chunk.applyInArrow(one, blob).groupBy("bucket").applyInArrow(two, blob)

@@ -1,4 +1,9 @@
-"""Substring dedup: words of passages that also start at another place are removed."""
+"""Substring dedup: words of passages that also start at another place are removed.
+
+Suffixes are dealt to buckets by prefixes of variable length: the anchor's words (the k words that the suffix at an anchor
+begins with), or a whole window's where an anchor is hot. In a bucket, prefix_groups lengthens them further until a group
+fits, and the trees of all groups are grown together.
+"""
 
 from __future__ import annotations
 
@@ -12,18 +17,23 @@ from .arrays import ranges, starts_of
 from .repeats import Chunk, Spec, find_repeats
 
 
-def suffix_trees(symbols: np.ndarray, first: np.ndarray, prefix: np.ndarray, depth: int) -> dict:
+def suffix_trees(symbols: np.ndarray, first: np.ndarray, prefix: np.ndarray, depth: np.ndarray) -> dict:
     """Suffix trees of the suffixes at first, one tree for each prefix group, built from the root down to depth.
 
     All trees grow together, a level at a time: the suffixes below a node are parted by their next symbol; where they
-    part, new nodes begin, and suffixes that stay alone become leaves. Returns each suffix's deepest node, and each
-    node's depth and parent (-1 for a root). Suffixes in a node of full depth have that many symbols in common."""
+    part, new nodes begin, and suffixes that stay alone become leaves. depth is the same within a prefix group. Returns each
+    suffix's deepest node, each node's depth and parent (-1 for a root), and the suffixes in nodes of full depth, which have
+    that many symbols in common with another."""
     node = np.asarray(prefix, np.int64).copy()
     roots = int(node.max()) + 1 if len(node) else 0
     depths, parents = [np.zeros(roots, np.int64)], [np.full(roots, -1)]
     made = roots
     act = np.flatnonzero(np.bincount(node, minlength=roots)[node] > 1)
-    for level in range(depth):
+    deep = []
+    for level in range(int(depth.max(initial=0)) + 1):
+        full = depth[act] <= level
+        deep.append(act[full])
+        act = act[~full]
         if not len(act):
             break
         nxt = symbols[first[act] + level]
@@ -41,17 +51,17 @@ def suffix_trees(symbols: np.ndarray, first: np.ndarray, prefix: np.ndarray, dep
         made += int(splits.sum())
         node[act] = number[child]
         act = act[(size > 1)[child]]
-    out = np.concatenate(depths)
-    out[node[act]] = depth
+    out, act = np.concatenate(depths), np.concatenate([act[:0], *deep])
+    out[node[act]] = depth[act]
     return {"node": node, "depth": out, "parent": np.concatenate(parents), "deep": act}
 
 
-def prefix_groups(symbols: np.ndarray, first: np.ndarray, segment: np.ndarray, window: int, most: int) -> list[np.ndarray]:
-    """Parts the suffixes into groups of at most most, by prefixes as long as that takes; equal windows stay together."""
+def prefix_groups(symbols: np.ndarray, first: np.ndarray, segment: np.ndarray, depth: np.ndarray, most: int) -> list[np.ndarray]:
+    """Parts the suffixes into groups of at most most, by prefixes as long as that takes; equal strings stay together."""
     todo, out = [(np.arange(len(first)), -1)], []
     while todo:
         rows, length = todo.pop()
-        if len(rows) <= most or length >= window:
+        if len(rows) <= most or length >= int(depth[rows].min()):
             out.append(rows)
             continue
         by_symbol = segment[rows] if length < 0 else symbols[first[rows] + length]
@@ -72,12 +82,12 @@ def prefix_groups(symbols: np.ndarray, first: np.ndarray, segment: np.ndarray, w
     return out
 
 
-def equal_windows(symbols: np.ndarray, first: np.ndarray, segment: np.ndarray, window: int, most: int = 1 << 18) -> np.ndarray:
-    """Numbers the windows: those below the same internal node of full depth alike, all others apart."""
+def equal_windows(symbols: np.ndarray, first: np.ndarray, segment: np.ndarray, depth: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Numbers the strings of depth symbols: those below the same internal node of full depth alike, all others apart."""
     out, made = np.empty(len(first), np.int64), 0
-    for rows in prefix_groups(symbols, first, segment, window, most):
+    for rows in prefix_groups(symbols, first, segment, depth, most):
         _, prefix = np.unique(segment[rows], return_inverse=True)
-        tree = suffix_trees(symbols, first[rows], prefix, window)
+        tree = suffix_trees(symbols, first[rows], prefix, depth[rows])
         number = np.arange(len(rows)) + len(tree["depth"])
         number[tree["deep"]] = tree["node"][tree["deep"]]
         out[rows] = number + made

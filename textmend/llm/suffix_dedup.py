@@ -8,40 +8,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import U, byte_values, powers, starts_of
+from .arrays import U, byte_values, powers, ranges, starts_of
 from .repeats import Chunk, Spec, find_repeats
 
 
 class Prefixes:
     """Prefix polynomial hashes of a text, and comparisons of its suffixes by them."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray):
         pw, self.inverse = powers(len(text) + 1)
         self.total = np.zeros(len(text) + 1, U)
         np.cumsum(byte_values()[text] * pw[: len(text)], out=self.total[1:])
-        self.text, self.depth = text, depth
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common extension of the suffixes at a and b, up to depth, by binary search over hashes of prefixes."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
-        ha, hb, ia, ib = self.total[a], self.total[b], self.inverse[a], self.inverse[b]
-        for _ in range(self.depth.bit_length()):
-            mid = (low + high + 1) >> 1
-            same = (self.total[a + mid] - ha) * ia == (self.total[b + mid] - hb) * ib
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        self.text = text
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether so many bytes at a and b have equal hashes."""
+        return (self.total[a + size] - self.total[a]) * self.inverse[a] == (self.total[b + size] - self.total[b]) * self.inverse[b]
+
+    def common(self, a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Common extension of the suffixes at a and b, up to depth, by binary search over hashes of prefixes; depth itself
+        is tried first, as most of what is compared is equal."""
+        low = np.where(self.same(a, b, depth), depth, 0)
+        todo = np.flatnonzero(low < depth)
+        a, b, lo, hi = a[todo], b[todo], low[todo], depth[todo] - 1
+        for _ in range(int(hi.max(initial=0)).bit_length()):
+            mid = (lo + hi + 1) >> 1
+            same = self.same(a, b, mid)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        low[todo] = lo
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def less(self, a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 as the suffix at a is less than, equal to or greater than that at b, up to depth."""
-        at = self.common(a, b)
-        done = at >= self.depth
-        at = np.minimum(at, self.depth - 1)
+        at = self.common(a, b, depth)
+        done = at >= depth
+        at = np.minimum(at, depth - 1)
         return np.where(done, 0, np.sign(self.text[a + at].astype(np.int64) - self.text[b + at]))
 
 
-def suffix_sort(hashes: Prefixes, first: np.ndarray, segment: np.ndarray) -> np.ndarray:
+def suffix_sort(hashes: Prefixes, first: np.ndarray, segment: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """Order of the suffixes in each segment (segments lie together): a bottom-up mergesort of all segments at once. Each
-    round places every suffix of a half by binary search in the other half, with hash comparisons."""
+    round places every suffix of a half by binary search in the other half, with hash comparisons up to depth, which is the
+    same within a segment."""
     order = np.arange(len(first))
     start = np.flatnonzero(starts_of(segment))
     size = np.diff(np.append(start, len(first)))
@@ -56,12 +64,12 @@ def suffix_sort(hashes: Prefixes, first: np.ndarray, segment: np.ndarray) -> np.
         left = place < mid
         lo, hi = np.where(left, mid, pair), np.where(left, end, mid)
         base = seg_start[act]
-        own = first[order[act]]
+        own, deep = first[order[act]], depth[act]
         other0 = lo.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):
             m = (lo[todo] + hi[todo]) >> 1
-            c = hashes.less(first[order[base[todo] + m]], own[todo])
+            c = hashes.less(first[order[base[todo] + m]], own[todo], deep[todo])
             right = np.where(left[todo], c < 0, c <= 0)
             lo[todo] = np.where(right, m + 1, lo[todo])
             hi[todo] = np.where(right, hi[todo], m)
@@ -73,21 +81,23 @@ def suffix_sort(hashes: Prefixes, first: np.ndarray, segment: np.ndarray) -> np.
     return order
 
 
-def equal_windows(text: np.ndarray, first: np.ndarray, segment: np.ndarray, window: int) -> np.ndarray:
-    """Numbers the windows by sorting them as suffixes; neighbours with a common extension of a whole window are equal.
-    Every such finding is verified byte by byte; in a segment with a hash collision, bytes decide."""
-    hashes = Prefixes(text, window)
-    order = suffix_sort(hashes, first, segment)
+def equal_windows(text: np.ndarray, first: np.ndarray, segment: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Numbers the strings of depth bytes at first by sorting them as suffixes; neighbours with a common extension of depth
+    are equal. Every such finding is verified byte by byte; in a segment with a hash collision, bytes decide."""
+    hashes = Prefixes(text)
+    order = suffix_sort(hashes, first, segment, depth)
     at = first[order]
     new = np.ones(len(order), bool)
     new[1:] = segment[1:] != segment[:-1]
-    new[1:] |= hashes.common(at[:-1], at[1:]) < window
+    near = np.flatnonzero(~new)
+    new[near] = hashes.common(at[near - 1], at[near], depth[near]) < depth[near]
     same = np.flatnonzero(~new)
     false = []
-    for i in range(0, len(same), 1 << 15):
-        s = same[i : i + (1 << 15)]
-        span = np.arange(window)
-        false.append(s[(text[at[s - 1, None] + span] != text[at[s, None] + span]).any(axis=1)])
+    for i in range(0, len(same), 1 << 14):
+        s = same[i : i + (1 << 14)]
+        n = depth[s]
+        off = text[ranges(at[s - 1], n)] != text[ranges(at[s], n)]
+        false.append(s[np.logical_or.reduceat(off, np.cumsum(n) - n)])
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new) - 1
     false = np.concatenate(false) if false else same
@@ -95,7 +105,7 @@ def equal_windows(text: np.ndarray, first: np.ndarray, segment: np.ndarray, wind
         mine = np.flatnonzero(segment == s)
         base, known = len(order) + int(out.max()), {}
         for i in mine.tolist():
-            out[i] = base + known.setdefault(text[first[i] : first[i] + window].tobytes(), len(known))
+            out[i] = base + known.setdefault(text[first[i] : first[i] + depth[i]].tobytes(), len(known))
     return np.unique(out, return_inverse=True)[1] if len(false) else out
 
 
