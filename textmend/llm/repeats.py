@@ -19,7 +19,6 @@ else.
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -252,6 +251,15 @@ class Contexts:
         self.seg = join(r["key"][self.run], hashes)
         self.js, self.nwin = join(r["js"][self.run], self.at), join(r["nwin"][self.run], np.ones(wins, np.int64))
         self.off = join(r["off"][self.run], np.zeros(wins, np.int64))
+        self.buckets = spec.buckets
+
+    def parts(self):
+        """Bucket and its entries."""
+        bucket = (mix(self.seg) % U(self.buckets)).astype(np.int64)
+        by = np.lexsort((self.js, bucket))
+        cut = np.flatnonzero(starts_of(bucket[by])).tolist()
+        for a, z in zip(cut, [*cut[1:], len(by)]):
+            yield int(bucket[by[a]]), by[a:z]
 
 
 def blobs(rows: list) -> pa.Table:
@@ -315,30 +323,43 @@ def send_contexts(spec: Spec, classes: Callable, table: pa.Table, replies: pa.Ta
         return blobs([])
     chunk = Chunk(table, spec)
     c = Contexts(chunk, take_states(chunk, replies), classes)
-    bucket = (mix(c.seg) % U(spec.buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
     rows, number = [], table["chunk"][0].as_py()
-    cut = np.flatnonzero(starts_of(bucket[by])) if len(by) else []
-    for a, z in zip(cut, np.append(cut[1:], len(by)) if len(by) else []):
-        t = by[a:z]
+    for b, t in c.parts():
         size = c.nwin[t] + spec.window - 1
-        body = {"seg": c.seg[t], "nwin": c.nwin[t].astype(np.uint8), "off": c.off[t].astype(np.uint8), "doc": c.doc[t], "several": c.several[t], "id": t.astype(np.uint32), "dealt": c.dealt[t]}
-        rows.append((int(bucket[t[0]]), number, zlib.compress(pickle.dumps((body, chunk.texts(c.js[t], size)), 5), 1)))
+        body = np.int32(len(t)).tobytes() + c.nwin[t].astype(np.uint8).tobytes() + c.off[t].astype(np.uint8).tobytes() + planes(c.doc[t], 8) + np.packbits(np.concatenate([c.several[t], c.dealt[t]])).tobytes()
+        rows.append((b, number, zlib.compress(body + chunk.texts(c.js[t], size), 1)))
     return blobs(rows)
 
 
+def read_contexts(raw: bytes) -> tuple[dict, bytes]:
+    raw = zlib.decompress(raw)
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 4), 4 + 10 * n), count=2 * n).astype(bool)
+    e = {"nwin": np.frombuffer(raw, np.uint8, n, 4).astype(np.int64), "off": np.frombuffer(raw, np.uint8, n, 4 + n).astype(np.int64), "doc": unplanes(raw, n, 8, 4 + 2 * n).view(np.int64), "several": bits[:n], "dealt": bits[n:]}
+    return e, raw[4 + 10 * n + -(-n // 4) :]
+
+
+def substring_hashes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of size symbols from each place."""
+    pw, inverse = powers(len(symbols) + 1)
+    total = np.zeros(len(symbols) + 1, U)
+    np.cumsum(mix(symbols.astype(U) + U(1)) * pw[: len(symbols)], out=total[1:])
+    return (total[first + size] - total[first]) * inverse[first]
+
+
 def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
     """For a bucket: which windows of each context are repeated, as bits. classes(symbols, first, segment, depth) numbers the
     texts of depth symbols at first, equal ones in a segment alike; it's the operator's method."""
     lean()
-    bodies, texts = zip(*(pickle.loads(zlib.decompress(x)) for x in table["payload"].to_pylist()))
-    numbers = table["chunk"].to_pylist()
-    e = {k: np.concatenate([b[k] for b in bodies]) for k in ("seg", "nwin", "off", "doc", "several", "id", "dealt")}
-    chunk = np.repeat(numbers, [len(b["seg"]) for b in bodies])
-    nwin, off = e["nwin"].astype(np.int64), e["off"].astype(np.int64)
+    bodies, texts = zip(*(read_contexts(x) for x in table["payload"].to_pylist()))
+    e = {k: np.concatenate([b[k] for b in bodies]) for k in ("nwin", "off", "doc", "several", "dealt")}
+    ends = np.cumsum([len(b["nwin"]) for b in bodies])
+    nwin, off = e["nwin"], e["off"]
     size = nwin + spec.window - 1
     symbols, base = symbols_of(spec, b"".join(texts), size)
     del texts, bodies
+    # the anchor, or the window that is dealt out
+    e["seg"] = substring_hashes(symbols, base + np.where(e["dealt"], 0, off), np.where(e["dealt"], spec.window, spec.k))
     # equal contexts: those of one anchor (or window) at the same place, of the same size
     by = np.lexsort((nwin, off, e["dealt"], e["seg"]))
     segment = np.cumsum(starts_of(e["seg"][by], e["dealt"][by], off[by], nwin[by])) - 1
@@ -395,11 +416,11 @@ def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
         repeated = least[cls[win]] < e["doc"][ent][wide] if spec.first else count[cls[win]] > 1
         mask[ent] = 0
         np.bitwise_or.at(mask, ent[wide[repeated]], U(1) << place[win[repeated]].astype(U))
+    kind = np.uint32 if spec.w <= 32 else np.uint64
     rows = []
-    for c in dict.fromkeys(numbers):
-        t = np.flatnonzero((chunk == c) & (mask > 0))
-        if len(t):
-            rows.append((-1, c, zlib.compress(pickle.dumps((e["id"][t], mask[t].astype(np.uint32) if spec.w <= 32 else mask[t]), 5), 1)))
+    for b, c, a, z in zip(table["bucket"].to_pylist(), table["chunk"].to_pylist(), [0, *ends.tolist()], ends.tolist()):
+        if mask[a:z].any():
+            rows.append((-1 - b, c, zlib.compress(mask[a:z].astype(kind).tobytes(), 1)))
     return blobs(rows)
 
 
@@ -408,10 +429,10 @@ def covered(chunk: Chunk, replies: pa.Table, classes: Callable) -> tuple[np.ndar
     r, W = chunk.runs, chunk.spec.window
     c = Contexts(chunk, take_states(chunk, replies), classes)
     mask = np.zeros(len(c.doc), U)
+    entries = dict(c.parts())
     for b, raw in zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist()):
         if b < 0:
-            ident, bits = pickle.loads(zlib.decompress(raw))
-            mask[ident] = bits
+            mask[entries[-1 - b]] = np.frombuffer(zlib.decompress(raw), np.uint32 if chunk.spec.w <= 32 else np.uint64)
     runs = len(c.run)
     told = mask[c.entry] if len(c.entry) else np.zeros(0, U)
     # a document after the first one that has the context here repeats it as a whole

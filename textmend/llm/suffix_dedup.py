@@ -126,13 +126,13 @@ def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([*columns, chunk.table["text_hash"]], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, sampled: int = 24, chunk_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, sampled: int = 32, chunk_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """For each row: its id, bytes, removed bytes, removed spans, the bytes that stay, and a hash of the text.
 
     A byte is removed if a string of window bytes covers it that also starts in a row with a smaller id. Null texts are
     empty; texts shorter than a window keep all; a null id counts as larger than any other; rows with the same id are one
     document's copies and don't remove each other. Other columns are ignored. sampled: windows that share an anchor at
-    most (below 33); it changes the work, not the result.
+    most (63 or fewer); it changes the work, not the result.
     """
     spec = partial(Spec, window - sampled + 1, sampled, False, True)
     return find_repeats(docs, id_col, text_col, spec, equal_windows, _finish, SCHEMA, chunk_bytes, bucket_bytes)
