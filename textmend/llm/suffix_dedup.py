@@ -46,67 +46,76 @@ class Prefixes:
         return np.where(done, 0, np.sign(self.text[a + at].astype(np.int64) - self.text[b + at]))
 
 
-def suffix_sort(hashes: Prefixes, first: np.ndarray, segment: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Order of the suffixes in each segment (segments lie together): a bottom-up mergesort of all segments at once. Each
-    round places every suffix of a half by binary search in the other half, with hash comparisons up to depth, which is the
-    same within a segment."""
-    order = np.arange(len(first))
-    start = np.flatnonzero(starts_of(segment))
-    size = np.diff(np.append(start, len(first)))
-    seg_start, seg_size = np.repeat(start, size), np.repeat(size, size)
-    width = 1
-    while width < (size.max() if len(size) else 0):
-        act = np.flatnonzero(seg_size > width)
-        place = act - seg_start[act]
-        pair = place // (2 * width) * (2 * width)
-        mid = np.minimum(pair + width, seg_size[act])
-        end = np.minimum(pair + 2 * width, seg_size[act])
-        left = place < mid
-        lo, hi = np.where(left, mid, pair), np.where(left, end, mid)
-        base = seg_start[act]
-        own, deep = first[order[act]], depth[act]
-        other0 = lo.copy()
+def suffix_sort(hashes: Prefixes, first: np.ndarray, segment: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the suffixes in each segment (segments lie together) by a bottom-up mergesort of all segments at once. Each round
+    places every suffix of a block by binary search in its neighbour, with hash comparisons up to depth, which is the same
+    within a segment. Suffixes that agree up to depth become one, so a block holds different ones only. Returns those that
+    stay, in order, and for each suffix the one that stands for it."""
+    owner = np.arange(len(first))
+    items, block = owner.copy(), owner - np.flatnonzero(starts_of(segment))[np.cumsum(starts_of(segment)) - 1] if len(first) else owner
+    while True:
+        seg = segment[items]
+        new = starts_of(seg, block)
+        start = np.flatnonzero(new)
+        mine = np.cumsum(new) - 1
+        size = np.diff(np.append(start, len(items)))
+        # each block's neighbour, if it has one
+        bseg, bnum = seg[start], block[start]
+        left = np.zeros(len(start), bool)
+        left[:-1] = (bseg[1:] == bseg[:-1]) & (bnum[:-1] % 2 == 0) & (bnum[1:] == bnum[:-1] + 1)
+        if not left.any():
+            if not (block > 0).any():
+                return items, owner
+            block = block >> 1
+            continue
+        right = np.zeros(len(start), bool)
+        right[1:] = left[:-1]
+        other = np.arange(len(start)) + left - right
+        o = other[mine]
+        lo = np.where(o == mine, 0, start[o])
+        hi = np.where(o == mine, 0, start[o] + size[o])
+        base = lo.copy()
+        equal = np.full(len(items), -1)
         todo = np.flatnonzero(lo < hi)
         while len(todo):
             m = (lo[todo] + hi[todo]) >> 1
-            c = hashes.less(first[order[base[todo] + m]], own[todo], deep[todo])
-            right = np.where(left[todo], c < 0, c <= 0)
-            lo[todo] = np.where(right, m + 1, lo[todo])
-            hi[todo] = np.where(right, hi[todo], m)
+            own = items[todo]
+            c = hashes.less(first[items[m]], first[own], depth[own])
+            lo[todo] = np.where(c < 0, m + 1, np.where(c == 0, m, lo[todo]))
+            hi[todo] = np.where(c < 0, hi[todo], m)
+            equal[todo[c == 0]] = m[c == 0]
             todo = todo[lo[todo] < hi[todo]]
-        moved = order.copy()
-        moved[base + pair + np.where(left, place - pair, place - mid) + lo - other0] = order[act]
-        order = moved
-        width *= 2
-    return order
+        gone = (equal >= 0) & right[mine]
+        owner[items[gone]] = items[equal[gone]]
+        # place among what stays: own rank, and what is less in the other block
+        stays = np.concatenate([[0], np.cumsum(~gone)])
+        rank = stays[np.arange(len(items))] - stays[start[mine]] + stays[lo] - stays[base]
+        keep = np.flatnonzero(~gone)
+        pair = starts_of(seg[keep], block[keep] >> 1)
+        at = np.flatnonzero(pair)[np.cumsum(pair) - 1] + rank[keep]
+        items[at], block[at] = items[keep], block[keep] >> 1
+        items, block = items[: len(keep)], block[: len(keep)]
 
 
 def equal_windows(text: np.ndarray, first: np.ndarray, segment: np.ndarray, depth: np.ndarray) -> np.ndarray:
-    """Numbers the strings of depth bytes at first by sorting them as suffixes; neighbours with a common extension of depth
-    are equal. Every such finding is verified byte by byte; in a segment with a hash collision, bytes decide."""
-    hashes = Prefixes(text)
-    order = suffix_sort(hashes, first, segment, depth)
-    at = first[order]
-    new = np.ones(len(order), bool)
-    new[1:] = segment[1:] != segment[:-1]
-    near = np.flatnonzero(~new)
-    new[near] = hashes.common(at[near - 1], at[near], depth[near]) < depth[near]
-    same = np.flatnonzero(~new)
+    """Numbers the strings of depth bytes at first by sorting them as suffixes; those that sorting has made one are equal.
+    Every such finding is verified byte by byte; in a segment with a hash collision, bytes decide."""
+    _, owner = suffix_sort(Prefixes(text), first, segment, depth)
+    while (owner[owner] != owner).any():
+        owner = owner[owner]
+    same = np.flatnonzero(owner != np.arange(len(owner)))
     false = []
     for i in range(0, len(same), 1 << 14):
         s = same[i : i + (1 << 14)]
         n = depth[s]
-        off = text[ranges(at[s - 1], n)] != text[ranges(at[s], n)]
+        off = text[ranges(first[s], n)] != text[ranges(first[owner[s]], n)]
         false.append(s[np.logical_or.reduceat(off, np.cumsum(n) - n)])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new) - 1
     false = np.concatenate(false) if false else same
     for s in np.unique(segment[false]).tolist():
-        mine = np.flatnonzero(segment == s)
-        base, known = len(order) + int(out.max()), {}
-        for i in mine.tolist():
-            out[i] = base + known.setdefault(text[first[i] : first[i] + depth[i]].tobytes(), len(known))
-    return np.unique(out, return_inverse=True)[1] if len(false) else out
+        known: dict = {}
+        for i in np.flatnonzero(segment == s).tolist():
+            owner[i] = known.setdefault(text[first[i] : first[i] + depth[i]].tobytes(), i)
+    return np.unique(owner, return_inverse=True)[1]
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, span_starts array<long>, span_lengths array<long>, kept binary, text_hash long"
