@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once; in a lambda Spark would compute it again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 # Java's \W and \s know ASCII only; the classes below are Unicode's.
 EDGE = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
 ALNUM_EDGE = r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$"

@@ -52,20 +52,24 @@ def anchor_of(facts: Column, seed: int, ident: Column) -> Column:
     return F.get(facts, below(F.size(facts), seed, "anchor", ident))
 
 
+def choices_of(table: dict, c: str) -> tuple[list[tuple[str, int]], str | None]:
+    """What may stand for a character, with counts, and where that comes from: its own entry in the table, the one of its
+    small letter in capitals, or a look-alike."""
+    if table.get(c):
+        return table[c], "table"
+    capitals = [(big, n) for o, n in table.get(c.lower(), ()) if (big := o.upper()) != c] if c.isupper() else []
+    if capitals:
+        return capitals, "table_casefold"
+    return ([(LOOK_ALIKE[c], 1)], "fallback_map") if c in LOOK_ALIKE else ([], None)
+
+
 def substitutes(table: dict) -> Column:
-    """For each character that has them, its choices with cumulative counts: table, capital of the table, look-alike."""
-    chars = sorted({*table, *(c.upper() for c in table if c.upper() != c and len(c.upper()) == 1), *LOOK_ALIKE})
+    """For each character that has them, its choices with cumulative counts."""
     entries = []
-    for c in chars:
-        if c in table:
-            found, source = table[c], "table"
-        else:
-            found = [(o.upper(), n) for o, n in table.get(c.lower(), []) if o.upper() != c] if c.isupper() else []
-            source = "table_casefold"
-            if not found:
-                if c not in LOOK_ALIKE:
-                    continue
-                found, source = [(LOOK_ALIKE[c], 1)], "fallback_map"
+    for c in sorted({*table, *(x for x in map(str.upper, table) if len(x) == 1), *LOOK_ALIKE}):
+        found, source = choices_of(table, c)
+        if not found:
+            continue
         upto, choices = 0, []
         for o, n in found:
             upto += n
@@ -110,7 +114,7 @@ def plan_words(rows: DataFrame, table: dict, cfg: dict = CONFIG) -> DataFrame:
 
     rows = rows.withColumn("_ops", F.transform("_wish", op))
     made = F.map_from_entries(F.transform("_ops", lambda o: F.struct(o["i"].alias("k"), F.coalesce(o["dst"], F.lit("")).alias("v"))))
-    out = F.array_join(F.transform("_c", lambda c, i: F.coalesce(F.try_element_at(made, i), c)), "")
+    out = T.let(made, lambda m: F.array_join(F.transform("_c", lambda c, i: F.coalesce(F.try_element_at(m, i), c)), ""))
     ops = F.transform("_ops", lambda o: F.struct(o["kind"].alias("kind"), o["src"].alias("src"), o["dst"].alias("dst"), o["source"].alias("source")))
     gone = F.col("_dropped")
     plan = F.struct(
@@ -143,13 +147,11 @@ def replay_plan(ident: str, idx: int, token: str, table: dict, cfg: dict, allow_
             letters[place] = ""
             ops.append({"kind": "del", "src": c, "dst": None, "source": None})
             continue
-        options, source = table.get(c), "table"
-        if not options and c.isupper():
-            options, source = [(o.upper(), n) for o, n in table.get(c.lower(), []) if o.upper() != c], "table_casefold"
-        if options:
+        options, source = choices_of(table, c)
+        if source == "fallback_map":  # draws nothing
+            new = options[0][0]
+        elif options:
             new = stream.choices([o for o, _ in options], weights=[n for _, n in options])[0]
-        elif c in LOOK_ALIKE:
-            new, source = LOOK_ALIKE[c], "fallback_map"
         else:
             alphabet = LOWER if c.islower() else UPPER if c.isupper() else DIGITS
             new, source = stream.choice(alphabet.replace(c, "")), "fallback_random"
@@ -201,7 +203,7 @@ def build_damage(sample: DataFrame, table: dict, cfg: dict = CONFIG, levels: lis
     inside = F.transform(F.filter("plans", lambda p: (F.col("k") > 0) & (p["idx"] >= F.col("span_start")) & (p["idx"] < F.col("span_end"))), lambda p: p["plan"])
     rows = rows.withColumn("ops_per_word", inside)
     dropped = F.map_from_entries(F.transform("ops_per_word", lambda p: F.struct(p["idx"].alias("k"), p["out"].alias("v"))))
-    text = F.array_join(F.filter(F.transform("gold_tokens", lambda t, i: F.coalesce(F.try_element_at(dropped, i), t)), lambda t: t != ""), " ")
+    text = T.let(dropped, lambda m: F.array_join(F.filter(F.transform("gold_tokens", lambda t, i: F.coalesce(F.try_element_at(m, i), t)), lambda t: t != ""), " "))
     places = F.transform("ops_per_word", lambda p: p["idx"])
     facts = F.filter("fact_idx", lambda i: F.array_contains(places, i))
     return rows.select(
@@ -213,7 +215,7 @@ def build_damage(sample: DataFrame, table: dict, cfg: dict = CONFIG, levels: lis
 def mark_damage(tokens: Column, plans: Column) -> Column:
     """The damaged sentence, damaged words in [[ ]]."""
     out = F.map_from_entries(F.transform(plans, lambda p: F.struct(p["idx"].alias("k"), F.concat(F.lit("[["), p["out"], F.lit("]]")).alias("v"))))
-    return F.array_join(F.transform(tokens, lambda t, i: F.coalesce(F.try_element_at(out, i), t)), " ")
+    return T.let(out, lambda m: F.array_join(F.transform(tokens, lambda t, i: F.coalesce(F.try_element_at(m, i), t)), " "))
 
 
 def damage_stats(damage: DataFrame) -> DataFrame:

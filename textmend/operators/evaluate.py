@@ -90,8 +90,9 @@ def bootstrap(long: DataFrame, draws: int, seed: int, alpha: float = 0.05) -> Da
         f = f.sort_values("id")
         num, den = f["num"].to_numpy(float), f["den"].to_numpy(float)
         n, stats, rng = len(f), [], np.random.default_rng(seed)
-        for at in range(0, draws, 512):
-            pick = rng.integers(0, n, size=(min(512, draws - at), n))
+        block = max(1, (1 << 22) // n)
+        for at in range(0, draws, block):
+            pick = rng.integers(0, n, size=(min(block, draws - at), n))
             top, bottom = num[pick].sum(axis=1), den[pick].sum(axis=1)
             stats.append(top[bottom > 0] / bottom[bottom > 0])
         s = np.concatenate(stats)
@@ -222,6 +223,30 @@ def failures(predictions: DataFrame) -> DataFrame:
     return predictions.rollup("method", "severity").agg(F.count_if(~F.col("format_ok")).alias("failures"), F.count("*").alias("rows")).where("method is not null").select("method", F.coalesce("severity", F.lit("all")).alias("level"), "failures", "rows")
 
 
+def fact_slots(damage: DataFrame) -> DataFrame:
+    """Fact slots by level: all, visible and dropped ones, and the mean of a sentence."""
+    facts = F.filter("ops_per_word", lambda p: F.array_contains(F.col("fact_idx_in_span"), p["idx"]))
+    rows = damage.where("k > 0").select("severity", F.size(facts).alias("n"), F.size(F.filter(facts, lambda p: p["dropped"])).alias("gone"))
+    return rows.groupBy("severity").agg(F.sum("n").alias("fact_slots"), F.sum(F.col("n") - F.col("gone")).alias("visible"), F.sum("gone").alias("dropped"), F.avg("n").alias("per_sentence"))
+
+
+def parse_cell(cell: Column) -> Column:
+    """value, low and high of a cell 'value [low, high]'; nulls if it isn't one."""
+    part = lambda i: F.regexp_extract(cell, r"^\s*(-?[0-9.]+)\s*\[\s*(-?[0-9.]+)\s*,\s*(-?[0-9.]+)\s*\]\s*$", i).try_cast("double")
+    return F.struct(part(1).alias("value"), part(2).alias("low"), part(3).alias("high"))
+
+
+def level_grid(rows: DataFrame, column: str, kinds: list, value: str) -> DataFrame:
+    """Means of value by level, a column for each kind."""
+    return rows.groupBy("level").pivot(column, kinds).agg(F.avg(value))
+
+
+def letter_scores(scores: DataFrame) -> DataFrame:
+    """method, level, pair_id, gold, text: the texts that an injected scorer compares, damaged and repaired."""
+    both = lambda name: scores.select("method", "level", F.col("id").alias("pair_id"), F.lit(name).alias("of"), F.col("gold_span").alias("gold"), F.col(f"{name}_span").alias("text"))
+    return both("damaged").unionAll(both("repaired"))
+
+
 def valid_means(scores: DataFrame, metric: str) -> DataFrame:
     return scores.where("format_ok").groupBy("method", "level").agg(F.count("*").alias("n"), F.avg(F.col(metric).cast("double")).alias("mean"))
 

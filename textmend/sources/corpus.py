@@ -37,9 +37,17 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumnsRenamed({"doc_id": "source_id", "short_id": "doc_id"}).withColumn("publication", unescape("publication")).withColumn("year", F.substring("date", 1, 4).cast("int"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df as it is, or dealt out by keys if the files have fewer splits than there are cores. Only for tables as read: their
+    splits are known without running anything."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df if splits >= cores or splits == 0 else df.repartition(cores, *keys)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's documents as a corpus: every line is a paragraph."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", T.lines(F.col("text")).alias("paragraphs"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return spread(rows, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", T.lines(F.col("text")).alias("paragraphs"))
 
 
 def write_jsonl(df: DataFrame, path: str, sort_keys: bool = False) -> None:
@@ -52,6 +60,35 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def distinct_docs(rows: DataFrame) -> DataFrame:
+    """The documents that a table of sentences comes from."""
+    return rows.select("doc_id").distinct()
+
+
+def merged_config(*parts: dict) -> dict:
+    """Settings of several files; a name that comes twice with another value is an error."""
+    out: dict = {}
+    for part in parts:
+        clash = sorted(k for k in part if k in out and out[k] != part[k])
+        if clash:
+            raise ValueError(f"settings differ: {clash}")
+        out |= part
+    return out
+
+
+#: What each method's own file of settings must name.
+METHOD_SETTINGS = {"lookup": {"version"}, "rerank": {"lam", "beam", "top_n"}, "seq2seq": {"num_beams", "max_length"}, "llm": {"model", "temperature"}}
+
+
+def read_method_config(path: str, method: str) -> dict:
+    """A method's settings; one that lacks a name it needs is refused."""
+    found = read_config(path) or {}
+    lacking = sorted(METHOD_SETTINGS[method] - set(found))
+    if lacking:
+        raise ValueError(f"{method} lacks {lacking}")
+    return found
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 

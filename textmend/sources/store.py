@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
@@ -47,38 +49,65 @@ def pending(damage: DataFrame, stored: DataFrame, method: str, version: str, all
     return todo.join(done, ["id", "severity"], "left_anti")
 
 
-def run_method(damage: DataFrame, predict: Callable[[dict], dict], method: str, version: str, model: str, path: str, allow_test: bool = False) -> int:
-    """Runs predict(view) on pending rows and stores the answers, good or bad; returns how many. An exception in predict ends
-    the run, and nothing of its batch is stored; a later run takes up what is missing."""
-    spark = damage.sparkSession
-    todo = pending(damage, load_predictions(spark, path), method, version, allow_test)
-    views = L.build_slots(todo)
-    views = views.withColumn("slots_in", L.slot_view(F.col("words"), F.col("slots")))
+ANSWER = "id string, severity string, slots_in string, raw_output string, pred_words array<string>, error string, seconds double, timestamp timestamp, failure string"
+
+
+def answer_views(predict: Callable[[dict], dict]) -> Callable:
+    """A function of frames of views for mapInPandas: each row's answer is made once. An exception ends the task's work; the rows
+    before it are kept, and one row tells what happened."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in ANSWER.split(", ")]
         for f in frames:
-            out = []
+            out, failure = [], None
             for row in f.to_dict("records"):
                 view = {"id": row["id"], "severity": row["severity"], "split": row["split"], "k": row["k"], "words": list(row["words"]), "slots": [dict(s) for s in row["slots"]]}
                 began = time.perf_counter()
-                told = predict(view)
+                try:
+                    told = predict(view)
+                except Exception as e:
+                    failure = f"{type(e).__name__}: {e}"
+                    out.append((row["id"], row["severity"], row["slots_in"], None, None, None, None, None, failure))
+                    break
                 took = round(time.perf_counter() - began, 3)
                 words = told.get("pred_words")
                 good = isinstance(words, list) and len(words) == row["k"] and all(isinstance(w, str) for w in words)
-                out.append((row["id"], row["severity"], row["slots_in"], told.get("raw_output"), words if good else None, told.get("error"), took, datetime.now(timezone.utc).replace(microsecond=0)))
-            yield pd.DataFrame(out, columns=["id", "severity", "slots_in", "raw_output", "pred_words", "error", "seconds", "timestamp"])
+                out.append((row["id"], row["severity"], row["slots_in"], told.get("raw_output"), words if good else None, told.get("error"), took, datetime.now(timezone.utc).replace(microsecond=0), None))
+            yield pd.DataFrame(out, columns=names).astype({"timestamp": "datetime64[ns, UTC]"})
+            if failure:
+                return
 
-    answers = views.mapInPandas(each, "id string, severity string, slots_in string, raw_output string, pred_words array<string>, error string, seconds double, timestamp timestamp")
-    return store_answers(todo, answers, method, version, model, path)
+    return each
+
+
+def run_method(damage: DataFrame, predict: Callable[[dict], dict], method: str, version: str, model: str, path: str, allow_test: bool = False) -> int:
+    """Runs predict(view) on pending rows and stores the answers, good or bad; returns how many.
+
+    Answers are written once, to a folder beside the store's files that readers don't see, and from there checked and
+    added. So each row is asked for once (but for tasks that a lost executor makes run again). An exception in predict ends
+    its task's part; all answers made are stored, then it's raised. A later run takes up what is missing."""
+    spark = damage.sparkSession
+    todo = pending(damage, load_predictions(spark, path), method, version, allow_test)
+    views = L.build_slots(todo)
+    views = views.withColumn("slots_in", L.slot_view(F.col("words"), F.col("slots")))
+    staged = f"{path}/_answers-{uuid.uuid4()}"
+    views.mapInPandas(answer_views(predict), ANSWER).write.parquet(staged)
+    told = spark.read.schema(ANSWER).parquet(staged)
+    made = store_answers(todo, told.where("failure is null").drop("failure"), method, version, model, path)
+    failed = told.where("failure is not null").select("id", "severity", "failure").first()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if failed:
+        raise RuntimeError(f"{failed.failure} (row {failed.id}, {failed.severity}; {made} answers stored)")
+    return made
 
 
 def store_answers(todo: DataFrame, answers: DataFrame, method: str, version: str, model: str, path: str) -> int:
     rows = todo.join(answers, ["id", "severity"])
     good = E.format_ok(F.col("pred_words"), F.col("k"))
     rows = rows.select("id", "severity", "split", F.lit(method).alias("method"), F.lit(version).alias("method_version"), F.lit(model).alias("model_name"), "slots_in", "raw_output", F.when(good, F.col("pred_words")).alias("pred_words"), F.when(good, L.splice(F.col("gold_tokens"), F.col("ops_per_word"), F.col("pred_words"))).alias("spliced_text"), good.alias("format_ok"), "error", "seconds", "timestamp")
-    before = load_predictions(todo.sparkSession, path).count()
     append_predictions(rows, path)
-    return load_predictions(todo.sparkSession, path).count() - before
+    return answers.count()
 
 
 def timing(predictions: DataFrame) -> DataFrame:
@@ -92,6 +121,36 @@ def digest(df: DataFrame) -> dict:
     return one.asDict()
 
 
+def text_digest(content: bytes, whole: bool = False) -> str:
+    """sha256 of bytes; unless whole, of a text whose line ends are \\n."""
+    return hashlib.sha256(content if whole else content.replace(b"\r\n", b"\n")).hexdigest()
+
+
+def file_digests(spark: SparkSession, paths: str | list[str], whole: bool = False) -> DataFrame:
+    """path, length, sha256 of files of any number, read where the executors are."""
+    content = F.col("content") if whole else _plain_ends(F.col("content"))
+    return spark.read.format("binaryFile").load(paths).select("path", "length", F.sha2(content, 256).alias("sha256"))
+
+
+def _plain_ends(content):
+    """Binary with \\n for \\r\\n. Latin-1 maps each byte to one character and back."""
+    return F.encode(F.replace(F.decode(content, "ISO-8859-1"), F.lit("\r\n"), F.lit("\n")), "ISO-8859-1")
+
+
+def rebuilt_alike(spark: SparkSession, path: str, version: str, rebuilt: DataFrame) -> bool:
+    """Whether a frozen version equals the table as it's built now."""
+    return digest(spark.read.schema(rebuilt.schema).parquet(f"{path}/v={version}")) == digest(rebuilt)
+
+
+def freeze_pool(pool: DataFrame, path: str, version: str) -> dict:
+    """Freezes a pool of sentences; returns what a checked load needs."""
+    from textmend.schemas import SENTENCE
+
+    rows = pool.select(*(F.col(f.name).cast(f.dataType) for f in SENTENCE))
+    freeze(rows, path, version)
+    return digest(rows)
+
+
 def check_damage(damage: DataFrame, sentences: int, levels: int) -> DataFrame:
     """Numbers of violations, all 0 for a sound table: rows, double keys, level 0 not clean, wrong numbers of plans."""
     keys = damage.groupBy("id", "severity").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("double_keys"))
