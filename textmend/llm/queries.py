@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmend.sources.corpus import spread
+
 from . import decontaminate, html_extract, toxicity, url_filters, warc
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
@@ -14,7 +16,9 @@ from .suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # a table of fewer splits than cores is dealt out
+    return spread(rows, *rows.columns) if name in ("documents", "pages") else rows
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,10 +161,13 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Writes pages to WARC archives (gzip) in folder, by way of ARC archives.
 
     Of pages with equal payloads of least_bytes or more, that with the smallest id is a response (all of them, if the id
-    occurs again) and the others are revisits of it; a null id is larger than any other. Null html is an empty payload."""
+    occurs again) and the others are revisits of it; a null id is larger than any other. Null html is an empty payload.
+    Payloads of any length are written whole. Other columns, whatever their names, are left out."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b"")).alias("body"))
     rows = rows.withColumn("digest", F.when(F.octet_length("body") >= least_bytes, F.sha2("body", 256)))
     first = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least")
+    # payloads that are too small to be revisited get keys that match nothing, and so lie apart
+    rows = rows.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("page_id", "url", "body").cast("string"))))
     known = rows.join(first, "digest", "left")
     known = known.select("page_id", "url", "body", F.when((F.col("page_id") > F.col("least")) | F.col("page_id").isNull(), F.col("least")).alias("refers_to"))
 
