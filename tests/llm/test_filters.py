@@ -108,8 +108,8 @@ def brute_windows(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [1 << 20, 0])
-def test_decontaminate(spark, most):
+@pytest.mark.parametrize("block", [1 << 18, 40])
+def test_decontaminate(spark, block):
     rng = random.Random(4)
     word = lambda: rng.choice(["Ab", "cé", "d1", "e", "FF", "Österreich", "x-y", "don't"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([30, 12, 10, 9, 3, 2, 1, 11, 0])] + [(10, None), (11, "..."), (12, "Ab cé d1 e FF Ab cé d1 e FF e e"), (12, "zz Top"), (2, "other")]
@@ -122,13 +122,29 @@ def test_decontaminate(spark, most):
     docs += [(100, None), (101, ""), (102, "!!!"), (5, docs[5][1]), (None, docs[3][1]), (103, "ZZ—top, zz top. " * 400)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("key", F.lit(2)).withColumn("h", F.lit("3"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(9))
-    got = B.decontaminate(df, bench, most_broadcast=most).select("doc_id", "n_words", "n_hit", "n_items", F.concat_ws(",", "items"), "contaminated").collect()
+    got = B.decontaminate(df, bench, block=block).select("doc_id", "n_words", "n_hit", "n_items", F.concat_ws(",", "items"), "contaminated").collect()
     assert sorted(map(tuple, got), key=repr) == brute_windows(docs, items)
     empty = B.decontaminate(df, bench.limit(0)).collect()
     assert len(empty) == len(docs) and not any(r.contaminated or r.n_hit for r in empty)
     assert B.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_decontaminate_shuffles_no_words(spark):
+    """The pass over the documents is one stage without an exchange, and what it writes is bounded by the window's size."""
+    rows = spark.createDataFrame([(1, 2, ["a"] * 5000)], "doc_id long, h long, w array<string>")
+    keys = rows.select(B.key_at(F.col("w"), F.lit(0), 3).alias("key"))
+    place = B.places_of(rows, keys, [3], 10)
+    plan = place._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    got = place.collect()
+    assert len(got) == 4998 and max(len(r.near) for r in got) <= 20 and sum(r.head for r in got) == 1
+
+
+def test_url_parts_use_their_argument(spark):
+    df = spark.createDataFrame([("http://a.com/x", "b")], "other string, url string")
+    assert tuple(df.select(U.host_of(F.col("other")), U.path_of(F.col("other"))).first()) == ("a.com", "/x")
+
+
 def test_url_rules(spark):
     urls = ["http://WWW.Example.com/en/7?x#y", "https://example.com/en/8", "ftp://a.b/com/en/", "http://x.net/de/", "http://sub.example.net/de/81", "example.com/en/7", None, "http://notexample.com", "http://com/en/x", "http://Éa.org/es/#f", "x://y://z/q", "http://example.net#/de/8"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
