@@ -23,9 +23,17 @@ def model():
     return H.train(H.labelled_pages())
 
 
+def names_of(node):
+    out = []
+    while node is not None:
+        out = node.fresh + out
+        node = node.above
+    return out
+
+
 def test_blocks():
     def blocks(page):
-        return [(b[1], [x for x in b[0] if x[0] == "." or x in ("article", "nav")]) for b in H.blocks_of(page)]
+        return [(text, [x for x in names_of(node) if x[0] == "." or x in ("article", "nav")]) for node, text, _ in H.blocks_of(page)]
 
     assert blocks("<article><p><b>One&amp;two<br>three<p>four</article>") == [("One&two three", ["article"]), ("four", ["article"])]
     assert blocks('<script>var t="</p>";</script><style>x</style><!-- <p>no</p> --><p>a <i>b</i>c</p>d') == [("a bc", []), ("d", [])]
@@ -57,6 +65,49 @@ def test_held_out_pages(model):
     assert right / total > 0.98
 
 
+def test_deep_pages_take_linear_time(model):
+    import time
+
+    weights = model[0].tolist()
+    for part in ("<div>x ", "<b><div>x ", "<ul><li>x", "<p><i>x</b></section>", '<div class="a{0}">x ', "<select>x ", "</p><td>x"):
+        took = []
+        for n in (5_000, 50_000):
+            page = "".join(part.replace("{0}", "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + "uvwxyzabcd"[i // 100 % 10]) for i in range(n))
+            began = time.perf_counter()
+            H.extract(page, weights, model[1])
+            took.append(time.perf_counter() - began)
+        assert took[1] < 40 * took[0] + 0.5, part
+
+
+#: Pages written by hand in the manner of several kinds of sites, with their main text.
+BY_HAND = [
+    ("""<html><head><title>Blue Kettle</title></head><body><div id="masthead"><a href="/">Kettle Weekly</a></div><nav><a href=/a>Home</a> <a href=/b>News</a></nav>
+<main><h1>How to clean a kettle</h1><p>Fill it with water and vinegar, then wait for an hour.</p><p>Rinse it twice. <b>Never</b> use sand!</p><blockquote>It worked on the first day.</blockquote></main>
+<aside><h3>More to read</h3><ul><li><a href=/1>Spoons</a><li><a href=/2>Forks</a></ul></aside><footer>All rights reserved.</footer></body></html>""", ["How to clean a kettle", "Fill it with water and vinegar, then wait for an hour.", "Rinse it twice. Never use sand!", "It worked on the first day."]),
+    ("""<body><div class="cookie-banner">This site uses cookies. <button>Fine</button></div><div class="menu"><ul><li><a href="#">Start</a></li><li><a href="#">About us</a></li></ul></div>
+<div class="post-body"><h2>A walk in the hills</h2><p>We left at dawn, and the fog was thick.</p><ul><li>Two pairs of boots</li><li>One map of the valley</li></ul><p>By noon we could see the lake.</p></div>
+<div id="comments"><div class="comment"><p>What a lovely trip, thank you for this.</p></div></div><div id="footer">Hill Club, 12 Main Street</div></body>""", ["A walk in the hills", "We left at dawn, and the fog was thick.", "Two pairs of boots", "One map of the valley", "By noon we could see the lake."]),
+    ("""<header><h2>The Daily Oak</h2></header><nav><ul><li><a href="/w">World</a></li><li><a href="/s">Sports</a></li></ul></nav><article class="story"><h1>Bridge opens after two years</h1>
+<p>The bridge over the river was opened on Monday.</p><div class="ad">Buy new shoes at half the price today.</div><p>&ldquo;It took too long,&rdquo; said the mayor.</p><pre>toll = 2 * axles</pre></article>
+<section class="related"><a href="/x">Old bridges</a></section><form><label>Your mail</label><input><button>Send</button></form>""", ["Bridge opens after two years", "The bridge over the river was opened on Monday.", "“It took too long,” said the mayor.", "toll = 2 * axles"]),
+]
+
+
+def test_pages_written_by_hand(model):
+    """Blocks found among those that belong to the article (recall) and the other way round (precision)."""
+    found = right = wanted = 0
+    for page, main in BY_HAND:
+        got = H.extract(page, model[0].tolist(), model[1]).split("\n")
+        found, right, wanted = found + len(got), right + len(set(got) & set(main)), wanted + len(main)
+    print("precision", right / found, "recall", right / wanted)
+    assert right / found >= 0.9 and right / wanted >= 0.9
+
+
+def test_templates_hold_nothing_of_the_test_tables():
+    pages = "".join(h for h, _ in H.labelled_pages(200))
+    assert not any(x in pages for x in ('var t=', 'p{margin', ".example.com", "&middot;", "track("))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -32,48 +32,95 @@ RAW = frozenset("script style noscript template textarea title select svg annota
 UNCLOSED = frozenset("noscript select svg annotation annotation-xml iframe object".split())
 #: An opening tag of the first kind ends an open element of these kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-KEEPS_P = INLINE | {"p"}
 SCOPE = frozenset("ul ol dl table body html div article section".split())
 SLOTS = 1 << 13
 SEED, PAGES, EPOCHS = 11, 600, 60
 
 
+class Node:
+    """An open element: its tag, the nearest tag that isn't inline, the names that no element above it has, and its parent."""
+
+    __slots__ = ("tag", "own", "fresh", "above", "score")
+
+    def __init__(self, tag: str, own: str, fresh: list, above: Node | None):
+        self.tag, self.own, self.fresh, self.above, self.score = tag, own, fresh, above, None
+
+
+class Open:
+    """The elements that are open, with the places of each tag and of those that part text, so that no step looks through
+    all of them however deep a page is."""
+
+    def __init__(self):
+        self.nodes: list[Node] = [Node("", "", [], None)]
+        self.names: list[list] = [[]]
+        self.places: dict[str, list[int]] = {}
+        self.parting: list[int] = [0]
+        self.seen: dict[str, int] = {}
+
+    def push(self, tag: str, names: list) -> None:
+        top, seen = self.nodes[-1], self.seen
+        fresh = []
+        for n in names:
+            if not seen.get(n):
+                fresh.append(n)
+            seen[n] = seen.get(n, 0) + 1
+        if tag not in INLINE:
+            self.parting.append(len(self.nodes))
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        # an element that adds nothing shares its parent's node
+        same = not fresh and (tag in INLINE or tag == top.own)
+        self.nodes.append(top if same else Node(tag, top.own if tag in INLINE else tag, fresh, top))
+        self.names.append([tag, *names])
+
+    def last(self, tags) -> int:
+        """The place of the innermost of the tags, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def pop(self, to: int):
+        """Closes all from a place on; the tags, innermost first."""
+        while len(self.nodes) > to:
+            tag, *names = self.names.pop()
+            self.nodes.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.parting.pop()
+            for n in names:
+                self.seen[n] -= 1
+            yield tag
+
+
 class Block:
-    __slots__ = ("path", "parts", "linked", "key")
+    __slots__ = ("node", "parts", "linked")
 
-    def __init__(self, path: list, key: int):
-        self.path, self.parts, self.linked, self.key = path, [], 0, key
+    def __init__(self, node: Node):
+        self.node, self.parts, self.linked = node, [], 0
 
 
-def blocks_of(page: str) -> list[tuple[list, str, int]]:
-    """Leaf blocks in page order: (names of the ancestors from the root, text, characters inside links)."""
-    stack: list[tuple[str, tuple]] = []  # tag, its names
-    out: list = []
+def blocks_of(page: str) -> list[tuple[Node, str, int]]:
+    """Leaf blocks in page order: (innermost element, text, characters inside links)."""
+    opened = Open()
+    out: list[Block] = []
     at, links, fresh = 0, 0, True
-    block = None
 
     def add(text: str) -> None:
-        nonlocal block, fresh
+        nonlocal fresh
         if fresh:
             if text.isspace():
                 return
-            block = Block([n for _, names in stack for n in names], len(out))
-            out.append(block)
+            out.append(Block(opened.nodes[-1]))
             fresh = False
-        block.parts.append(text)
+        out[-1].parts.append(text)
         if links:
-            block.linked += len(text.strip())
+            out[-1].linked += len(text.strip())
 
     def pop(to: int) -> None:
         nonlocal links, fresh
-        for tag, _ in stack[to:]:
-            if tag == "a":
-                links -= 1
-            elif tag not in INLINE:
-                fresh = True
-        del stack[to:]
+        for tag in opened.pop(to):
+            links -= tag == "a"
+            fresh = fresh or tag not in INLINE
 
     n = len(page)
+    missing: set = set()  # raw elements that have no end tag from here on
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
@@ -87,57 +134,46 @@ def blocks_of(page: str) -> list[tuple[list, str, int]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            if tag not in INLINE:
-                fresh = True
+            place = opened.last((tag,))
+            if place and (tag not in INLINE or place > opened.parting[-1]):
+                pop(place)
+            fresh = fresh or tag not in INLINE
             continue
         if tag in RAW:
             if tag == "svg" and m[3].endswith("/"):
                 continue
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = None if tag in missing else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if not end:
+                missing.add(tag)
             at = end.end() if end else at if tag in UNCLOSED else n
             if tag in ("textarea", "select"):
                 fresh = True
             continue
         if tag == "br":
             if not fresh:
-                block.parts.append(" ")
+                out[-1].parts.append(" ")
             continue
         if tag not in INLINE:
             fresh = True
-            if tag not in KEEPS_P or tag == "p":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            if tag in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES[tag]:
-                        pop(i)
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
+            near = opened.parting[-1]
+            if opened.names[near][:1] == ["p"]:
+                pop(near)
+            if tag in CLOSES and (place := opened.last(CLOSES[tag])) > opened.last(SCOPE):
+                pop(place)
         if tag in VOID or m[3].endswith("/") and tag not in ("p", "div", "a"):
             continue
         names = [tag]
         if m[3] and "=" in m[3]:
             for a in ATTRIBUTE.finditer(m[3]):
                 names += ["." + w for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower())]
-        stack.append((tag, tuple(names)))
+        opened.push(tag, names)
         if tag == "a":
             links += 1
     done = []
     for b in out:
         text = SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
         if text:
-            done.append((b.path, text, b.linked))
+            done.append((b.node, text, b.linked))
     return done
 
 
@@ -157,32 +193,56 @@ def slot(name: str) -> int:
     return found
 
 
-def features(blocks: list) -> list[list[int]]:
-    """Slots of each block's features."""
+def shape(blocks: list) -> list[list[int]]:
+    """Slots of the features of each block's text and place."""
     out = []
     n = len(blocks)
-    for i, (path, text, linked) in enumerate(blocks):
+    for i, (node, text, linked) in enumerate(blocks):
         size = len(text)
-        words = text.count(" ") + 1
-        own = next((p for p in reversed(path) if p[0] != "." and p not in INLINE), "")
-        f = {"bias", "own=" + own, f"words={bucket(words)}", f"links={min(4, 4 * linked // max(1, size))}", f"stops={bucket(text.count('.') + text.count(','))}"}
-        f.update("in=" + p for p in path)
+        f = ["bias", "own=" + node.own, f"words={bucket(text.count(' ') + 1)}", f"links={min(4, 4 * linked // max(1, size))}", f"stops={bucket(text.count('.') + text.count(','))}"]
         if text[-1] in ".!?\"”»…":
-            f.add("ends")
-        if "©" in text or "·" in text:
-            f.add("mark")
+            f.append("ends")
         if i == n - 1:
-            f.add("last")
+            f.append("last")
         if i == 0:
-            f.add("first")
+            f.append("first")
         out.append([slot(x) for x in f])
     return out
 
 
-def viterbi(unary: np.ndarray, step: np.ndarray) -> list[int]:
-    """The best path of labels; unary: (blocks, 2), step: (2, 2)."""
+def inside(node: Node) -> list[int]:
+    """Slots of the names of an element and all above it."""
+    out = []
+    while node is not None:
+        out += [slot("in=" + x) for x in node.fresh]
+        node = node.above
+    return out
+
+
+def features(blocks: list) -> list[list[int]]:
+    """Slots of each block's features."""
+    return [f + inside(node) for f, (node, _, _) in zip(shape(blocks), blocks)]
+
+
+def path_score(node: Node, weights: list) -> tuple[float, float]:
+    """Sums of the weights of inside(node); each element is summed up once, however many blocks it holds."""
+    todo = []
+    while node is not None and node.score is None:
+        todo.append(node)
+        node = node.above
+    x, y = node.score if node is not None else (0.0, 0.0)
+    for node in reversed(todo):
+        for name in node.fresh:
+            p, q = weights[slot("in=" + name)]
+            x, y = x + p, y + q
+        node.score = x, y
+    return x, y
+
+
+def viterbi(unary, step: np.ndarray) -> list[int]:
+    """The best path of labels; unary: a pair for each block, step: (2, 2)."""
     (s00, s01), (s10, s11) = step.tolist()
-    rows = unary.tolist()
+    rows = unary.tolist() if isinstance(unary, np.ndarray) else unary
     a, b = rows[0]
     back = []
     for x, y in rows[1:]:
@@ -304,7 +364,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[tuple[str, list
                 put(f'<{(t := pick("section", "div"))} {pick("class", "id")}="comments">{body}</{t}>', 0, k)
 
         everywhere = ("ad", "notice", "side", "related", "form")
-        put(f'<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>', 0, 0)
+        put(f'<!DOCTYPE html><html><head><title>{words(2, 6)}</title>{pick("", "<style>body > div:first-child { color: #222 }</style>", "<script>if (1 < 2) { start('<section>'); }</script>")}</head><body{pick("", " class=page")}>', 0, 0)
         if rng.random() < 0.4:
             put(f"<header{pick('', ' class=header')}><h2>{words(1, 4)}</h2></header>" if rng.random() < 0.5 else f'<div class="{pick("header", "masthead", "top")}">{words(1, 5)}</div>', 0)
         if rng.random() < 0.8:
@@ -340,21 +400,26 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[tuple[str, list
         for _ in range(rng.integers(0, 2)):
             noise(everywhere)
         if rng.random() < 0.85:
-            put(f"<footer>&copy; {word()}.example.com &middot; {sentence()}</footer>" if rng.random() < 0.7 else f'<div {pick("class", "id")}="footer">&copy; {sentence()}</div>', 0)
+            line = pick(f"Copyright {rng.integers(1995, 2030)} {words(1, 3)}", f"{words(1, 4)} | {words(1, 3)}", sentence(), f"{words(1, 3)} &mdash; {sentence()}", f"&#169; {words(1, 4)}")
+            put(f"<footer>{line}</footer>" if rng.random() < 0.7 else f'<div {pick("class", "id")}="footer">{line}</div>', 0)
         if rng.random() < 0.9:
             put("</body></html>", 0, 0)
         pages.append(("".join(out), y))
     return pages
 
 
-def extract(page: str | None, weights: np.ndarray, step: np.ndarray) -> str:
-    """The main text of a page, a line for each block."""
+def extract(page: str | None, weights: list, step: np.ndarray) -> str:
+    """The main text of a page, a line for each block; weights as a list of pairs."""
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    feats = features(blocks)
-    sizes = [len(f) for f in feats]
-    unary = np.add.reduceat(weights[[c for f in feats for c in f]], np.cumsum(sizes) - sizes, axis=0)
+    unary = []
+    for f, (node, _, _) in zip(shape(blocks), blocks):
+        x, y = path_score(node, weights)
+        for c in f:
+            p, q = weights[c]
+            x, y = x + p, y + q
+        unary.append((x, y))
     return "\n".join(b[1] for b, label in zip(blocks, viterbi(unary, step)) if label)
 
 
@@ -362,7 +427,9 @@ def html_extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray], html_co
     """All columns of pages (but those named text or n_chars), text and n_chars, its code points.
 
     A null or empty page has an empty text; so has one without main blocks. Broken markup is read as far as it goes: an
-    element that isn't closed ends with its parent. Each row is judged alone."""
+    element that isn't closed ends with its parent. Pages of any length and depth are read whole, in time that grows with
+    their length. Of equally good labels the first, not main, is taken. Each row is judged alone, so repeated rows get the
+    same text."""
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     at = rest.index(html_col)
     frame = pages.select(*rest).withColumn(html_col, F.col(html_col).cast("string"))
@@ -370,10 +437,11 @@ def html_extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray], html_co
 
     def each(batches):
         lean()
+        weights, step = shared.value[0].tolist(), shared.value[1]
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                text = [extract(x, *shared.value) for x in part.column(at).to_pylist()]
+                text = [extract(x, weights, step) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=[*rest, "text", "n_chars"])
 
     return frame.mapInArrow(each, StructType([*frame.schema, StructField("text", StringType()), StructField("n_chars", LongType())]))
