@@ -176,6 +176,41 @@ def test_near_copies_of_long_texts(spark, sizes):
     assert sorted(map(tuple, got)) == want and [c for _, _, c in want] == [0, 0, 2, 2, 4, 5]
 
 
+def bytes_sent(rows, chunks=4, buckets=3, num=80, den=100):
+    """The rounds of the join in this process: bytes sent in each, and the links."""
+    from textmend.llm import ngram_jaccard as J
+
+    tables = [pa.table({"text": pa.array([t for _, t in rows[c::chunks]], pa.string()), "chunk": pa.array([c] * len(rows[c::chunks]), pa.int32())}) for c in range(chunks)]
+    rarity = sum(np.bincount((J.shingle_sets(t["text"], 5)[1] & np.uint64(J.SLOTS - 1)).astype(np.int64), minlength=J.SLOTS) for t in tables)
+    make = lambda t: J.Sets(t, 5, rarity, num, den)
+
+    def deal(found, by):
+        whole = pa.concat_tables(found)
+        return {k: whole.filter(pa.compute.equal(whole[by], k)) for k in sorted(set(whole[by].to_pylist()))}
+
+    size = lambda found: sum(len(x) for t in found for x in t["payload"].to_pylist())
+    tokens = [J.send_tokens(make, buckets, t) for t in tables]
+    told = deal([J.answer_tokens(t) for t in deal(tokens, "bucket").values()], "chunk")
+    prefixes = [J.send_prefixes(make, num, den, buckets, t, told.get(c, R.blobs([]))) for c, t in enumerate(tables)]
+    visits = deal([J.find_visits(num, den, 4096, t) for t in deal(prefixes, "bucket").values()] or [R.blobs([])], "chunk")
+    sets = [J.send_sets(make, num, den, buckets, t, visits.get(c, R.blobs([]))) for c, t in enumerate(tables)]
+    links = sum(len(J.find_links(num, den, t)) for t in deal(sets, "bucket").values())
+    return [size(tokens), size(prefixes), size(list(visits.values())), size(sets)], links
+
+
+@pytest.mark.parametrize("own", [20, 34, 46])
+@pytest.mark.parametrize("copies", [1, 2])
+def test_boilerplate_stays_linear(own, copies):
+    """Documents that share most of their words, but aren't similar: what is sent grows with their number, not its square."""
+    rng = random.Random(own)
+    common = [f"c{i}" for i in range(150)]
+    for count in (500, 2000):
+        texts = [" ".join(common + [f"o{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(count // copies)]
+        rows = list(enumerate(texts * copies))
+        sent, links = bytes_sent(rows)
+        assert links == 0 and sum(sent) < 4 * sum(len(t) for _, t in rows), (count, sent)
+
+
 def test_hot_anchors_take_the_other_way(spark):
     """More contexts of one anchor than are compared together: windows are dealt out one by one."""
     rng = random.Random(8)

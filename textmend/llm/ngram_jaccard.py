@@ -2,10 +2,15 @@
 
 Equal sets are one class. A class belongs to the group of its smallest shingle hash, so similar classes mostly share a
 group. Two sets with similarity t share at least m shingles among the n - ceil(t n) + m rarest of each, so these rare
-shingles are the matrix's rows to look at: where one is held by classes of different groups, those of the group with
-fewer of them visit the other. That may be the one group at some shingles and the other at others, so at one of both
-places at least m / 2 are counted: a visitor that shares fewer of its rare shingles with the union of a group's isn't sent
-there, and neither is a member that shares fewer with all others. A group that is visited takes the union of its members' whole sets; a visitor
+shingles are the matrix's rows to look at.
+
+A first round tells which of a class's rare shingles another class holds. The others are its own: what it has in common
+with any class is bounded by its size less those, and the union by the other's size and those. A class that has too few
+shared or too many own shingles is done with. In a second round, where a shingle is held by classes of different groups,
+those of the group with fewer of them visit the other, if the bounds of both groups allow it; pairs that they don't allow
+aren't listed. That may be the one group at some shingles and the other at others, so at one of both places at least m / 2
+are counted: a visitor that shares fewer of its rare shingles with the union of a group's isn't sent there, and neither is
+a member that shares fewer with all others. A group that is visited takes the union of its members' whole sets; a visitor
 that shares less than ceil(t n) with the union can't be similar to any member, and the group isn't opened for it. Within
 an opened group, sets are compared exactly.
 """
@@ -98,19 +103,92 @@ class Sets:
         self.prefix = self.n - (num * self.n + den - 1) // den + np.maximum(1, at_least(self.n))
 
 
-def send_prefixes(make, buckets: int, table: pa.Table) -> pa.Table:
+def common_room(n, own, num: int, den: int):
+    """How many own shingles a set may have at most to be similar to one of n shingles, own of which no other set holds; below
+    zero if none can. What both share is at most n - own, and their union at least n and the other's own."""
+    return (den * (n - own) - num * n) // num
+
+
+class Prefixes:
+    """The rare shingles of a chunk's classes, and the different ones among them, in order, for each bucket."""
+
+    def __init__(self, s: Sets, buckets: int):
+        self.owner = np.repeat(np.arange(len(s.n)), s.prefix)
+        self.token = s.token[ranges(s.at, s.prefix)]
+        bucket = (mix(self.token) % U(buckets)).astype(np.int64)
+        low = self.token & U((1 << 40) - 1)
+        by = np.lexsort((low, bucket))
+        new = starts_of(bucket[by], low[by])
+        at = np.flatnonzero(new)
+        self.entry = np.empty(len(by), np.int64)
+        self.entry[by] = np.cumsum(new) - 1
+        self.at_bucket, self.bucket, self.low = bucket, bucket[by][at], low[by][at]
+        self.several = np.diff(np.append(at, len(by))) > 1
+        self.mark = np.where(self.several, 0, s.number[self.owner[by][at]]).view(U) >> U(23)
+
+    def parts(self):
+        """Bucket, first and end of its entries."""
+        cut = np.flatnonzero(starts_of(self.bucket)).tolist()
+        yield from zip(self.bucket[cut].tolist(), cut, [*cut[1:], len(self.bucket)])
+
+
+def send_tokens(make, buckets: int, table: pa.Table) -> pa.Table:
+    """For each bucket the chunk's rare shingles, in order, as differences, with the class that holds each, if it's one."""
+    p, number, rows = Prefixes(make(table), buckets), table["chunk"][0].as_py(), []
+    for b, a, z in p.parts():
+        low = p.low[a:z].copy()
+        low[1:] -= p.low[a : z - 1]
+        rows.append((b, number, np.int32(z - a).tobytes() + planes(low, 5) + planes(p.mark[a:z], 5) + np.packbits(p.several[a:z]).tobytes()))
+    return blobs(rows)
+
+
+def answer_tokens(table: pa.Table) -> pa.Table:
+    """For a bucket: which of each chunk's shingles are held by more than one class."""
+    lean()
+    parts, size = [], []
+    for raw in table["payload"].to_pylist():
+        n = int(np.frombuffer(raw, np.int32, 1)[0])
+        parts.append((np.cumsum(unplanes(raw, n, 5, 4)), unplanes(raw, n, 5, 4 + 5 * n), np.unpackbits(np.frombuffer(raw, np.uint8, -1, 4 + 10 * n), count=n).astype(bool)))
+        size.append(n)
+    token, mark, several = map(np.concatenate, zip(*parts))
+    by = np.argsort(token, kind="stable")
+    new = starts_of(token[by])
+    g0 = np.flatnonzero(new)
+    mark = mark[by]
+    live = np.logical_or.reduceat(several[by], g0) | (np.minimum.reduceat(mark, g0) != np.maximum.reduceat(mark, g0))
+    state = np.empty(len(by), bool)
+    state[by] = live[np.cumsum(new) - 1]
+    rows = []
+    for b, c, z, n in zip(table["bucket"].to_pylist(), table["chunk"].to_pylist(), np.cumsum(size).tolist(), size):
+        if state[z - n : z].any():
+            rows.append((b, c, np.packbits(state[z - n : z]).tobytes()))
+    return blobs(rows)
+
+
+def send_prefixes(make, num: int, den: int, buckets: int, table: pa.Table, replies: pa.Table) -> pa.Table:
+    """The shared rare shingles of classes that may be similar to another."""
+    if not len(table) or not len(replies):
+        return blobs([])
     s: Sets = make(table)
-    at = ranges(s.at, s.prefix)
-    owner = np.repeat(np.arange(len(s.n)), s.prefix)
-    token = s.token[at]
-    group = s.group[owner]
-    bucket = (mix(token) % U(buckets)).astype(np.int64)
+    p = Prefixes(s, buckets)
+    live = np.zeros(len(p.low), bool)
+    span = {b: (a, z) for b, a, z in p.parts()}
+    for b, raw in zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist()):
+        a, z = span[b]
+        live[a:z] = np.unpackbits(np.frombuffer(raw, np.uint8), count=z - a).astype(bool)
+    live = live[p.entry]
+    shared = np.bincount(p.owner[live], minlength=len(s.n))
+    own = s.prefix - shared
+    able = (shared >= np.maximum(1, at_least((num * s.n + den - 1) // den))) & (common_room(s.n, own, num, den) >= 0)
+    keep = np.flatnonzero(live & able[p.owner])
+    owner, token, bucket = p.owner[keep], p.token[keep], p.at_bucket[keep]
     by = np.argsort(bucket, kind="stable")
     rows, number = [], table["chunk"][0].as_py()
     cut = np.flatnonzero(starts_of(bucket[by])).tolist() if len(by) else []
     for a, z in zip(cut, [*cut[1:], len(by)]):
         t = by[a:z]
-        rows.append((int(bucket[t[0]]), number, np.int32(len(t)).tobytes() + planes(token[t], 5) + planes(s.number[owner[t]], 8) + planes(group[t] >> U(32), 4) + planes(s.n[owner[t]], 4)))
+        o = owner[t]
+        rows.append((int(bucket[t[0]]), number, np.int32(len(t)).tobytes() + planes(token[t], 5) + planes(s.number[o], 8) + planes(s.group[o] >> U(32), 4) + planes(s.n[o], 4) + planes(own[o], 4)))
     return blobs(rows)
 
 
@@ -119,6 +197,15 @@ def place(group: np.ndarray, depth: np.ndarray, block: np.ndarray) -> np.ndarray
     return mix(group + (depth.astype(U) << U(56)) + mix(block.astype(U) + U(1)))
 
 
+def squeezed(out: list) -> list:
+    """The same rows (class, place, role, chunk, times), each class and place once, in the order of chunks."""
+    number, where, role, chunk, times = map(np.concatenate, zip(*out))
+    by = np.lexsort((role, where, number, chunk))
+    first = np.flatnonzero(starts_of(chunk[by], number[by], where[by]))
+    at = by[first]
+    return [(number[at], where[at], role[at], chunk[at], np.minimum(np.add.reduceat(times[by], first), 1 << 30) if len(first) else times)]
+
+
 def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
     """For a bucket of shingles: which classes are members (0) and which are visitors (1) of which group's block, and by how
     many shingles; 255 for that many or more, which is taken as enough, and if the block is one of a large group's, whose
@@ -127,71 +214,82 @@ def find_visits(num: int, den: int, most: int, table: pa.Table) -> pa.Table:
     parts = []
     for c, raw in zip(table["chunk"].to_pylist(), table["payload"].to_pylist()):
         n = int(np.frombuffer(raw, np.int32, 1)[0])
-        parts.append((unplanes(raw, n, 5, 4), unplanes(raw, n, 8, 4 + 5 * n), unplanes(raw, n, 4, 4 + 13 * n), unplanes(raw, n, 4, 4 + 17 * n).astype(np.int64), np.full(n, c)))
-    token, number, group, n, chunk = map(np.concatenate, zip(*parts))
+        parts.append((unplanes(raw, n, 5, 4), unplanes(raw, n, 8, 4 + 5 * n), unplanes(raw, n, 4, 4 + 13 * n), unplanes(raw, n, 4, 4 + 17 * n).astype(np.int64), unplanes(raw, n, 4, 4 + 21 * n).astype(np.int64), np.full(n, c)))
+    token, number, group, n, own, chunk = map(np.concatenate, zip(*parts))
     by = np.lexsort((chunk, number, group, token))
-    token, number, group, n, chunk = (x[by] for x in (token, number, group, n, chunk))
+    token, number, group, n, own, chunk = (x[by] for x in (token, number, group, n, own, chunk))
     one = starts_of(token, number)  # a class counts once, where its first chunk is
-    token, number, group, n, chunk = (x[one] for x in (token, number, group, n, chunk))
+    token, number, group, n, own, chunk = (x[one] for x in (token, number, group, n, own, chunk))
     t0 = np.flatnonzero(starts_of(token))
     size = np.diff(np.append(t0, len(token)))
     keep = np.repeat(size > 1, size)
-    token, number, group, n, chunk = (x[keep] for x in (token, number, group, n, chunk))
+    token, number, group, n, own, chunk = (x[keep] for x in (token, number, group, n, own, chunk))
     if not len(token):
         return blobs([])
+    room = common_room(n, own, num, den)
     new = starts_of(token, group)
     g0 = np.flatnonzero(new)  # groups at a token
     gsize = np.diff(np.append(g0, len(token)))
     gof = np.cumsum(new) - 1
     least, greatest = np.minimum.reduceat(n, g0), np.maximum.reduceat(n, g0)
+    low, high = np.minimum.reduceat(own, g0), np.maximum.reduceat(room, g0)
     depth = np.zeros(len(g0), np.int64)
     big = gsize > most
     depth[big] = np.ceil(np.log2(gsize[big] / most)).astype(np.int64)
     spread = mix(number)
     block = np.where(depth[gof] > 0, (spread >> (U(63) - depth[gof].astype(U)) >> U(1)).astype(np.int64), 0)
     home = place(group, depth[gof], block)
-    out: list = []  # class, place, role, chunk
-    # classes of one group at a token are members of it
-    several = gsize[gof] > 1
-    out.append((number[several], home[several], np.zeros(int(several.sum()), np.int8), chunk[several]))
+    out: list = []  # class, place, role, chunk, times
+
+    def put(rows: np.ndarray, where: np.ndarray, role: int) -> None:
+        out.append((number[rows], where, np.full(len(rows), role, np.int8), chunk[rows], np.ones(len(rows), np.int64)))
+        if sum(len(x[0]) for x in out) > 1 << 22:
+            out[:] = squeezed(out)
+
+    # classes of one group at a token are members of it, if one of it may be similar to them
+    able = (gsize[gof] > 1) & (room >= low[gof]) & (own <= high[gof])
+    put(np.flatnonzero(able), home[able], 0)
     for g in np.flatnonzero(big).tolist():  # later blocks of a large group visit earlier ones
         rows = np.arange(g0[g], g0[g] + gsize[g])
+        rows = rows[able[rows]]
         for b in range(1 << int(depth[g])):
             go = rows[block[rows] > b]
-            out.append((number[go], np.full(len(go), place(group[go[:1]], depth[g : g + 1], np.array([b]))[0] if len(go) else 0, U), np.ones(len(go), np.int8), chunk[go]))
-    # groups at one token: of each pair the one with fewer classes visits
-    order = np.lexsort((group[g0], gsize, token[g0]))
+            put(go, np.full(len(go), place(group[go[:1]], depth[g : g + 1], np.array([b]))[0] if len(go) else 0, U), 1)
+    # groups at one token, in the order of their fewest own shingles: each is paired with earlier ones that leave it room
+    order = np.lexsort((group[g0], low, token[g0]))
     s0 = np.flatnonzero(starts_of(token[g0]))
     tsize = np.diff(np.append(s0, len(g0)))
-    rank = np.arange(len(g0)) - np.repeat(s0, tsize)
-    base = np.arange(len(g0)) - rank
-    pairs = np.cumsum(rank)
+    base = np.repeat(s0, tsize)
+    rank = np.arange(len(g0)) - base
+    wide = U(int(max(low.max(), high.max(), 0)) + 2)
+    at_token = np.repeat(np.arange(len(s0)), tsize).astype(U) * wide
+    fit = np.searchsorted(at_token + low[order].astype(U), at_token + (np.maximum(high[order], -1) + 1).astype(U), "left") - base
+    mine = np.minimum(rank, np.clip(fit, 0, None))
+    pairs = np.cumsum(mine)
     at = 0
     while at < len(g0):  # so many pairs at a time
         to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + (1 << 20), "right")))
-        small, large = order[ranges(base[at:to], rank[at:to])], order[np.repeat(np.arange(at, to), rank[at:to])]
+        x, y = order[ranges(base[at:to], mine[at:to])], order[np.repeat(np.arange(at, to), mine[at:to])]
         at = to
-        fits = (num * least[small] <= den * greatest[large]) & (num * least[large] <= den * greatest[small])
-        small, large = small[fits], large[fits]
+        fits = (low[y] <= high[x]) & (num * least[x] <= den * greatest[y]) & (num * least[y] <= den * greatest[x])
+        x, y = x[fits], y[fits]
+        # of each pair the one with fewer classes visits
+        fewer = (gsize[x] < gsize[y]) | ((gsize[x] == gsize[y]) & (group[g0[x]] < group[g0[y]]))
+        small, large = np.where(fewer, x, y), np.where(fewer, y, x)
         rows, host = ranges(g0[small], gsize[small]), np.repeat(large, gsize[small])
-        fits = (num * n[rows] <= den * greatest[host]) & (num * least[host] <= den * n[rows])
+        fits = (num * n[rows] <= den * greatest[host]) & (num * least[host] <= den * n[rows]) & (room[rows] >= low[host]) & (own[rows] <= high[host])
         rows, host = rows[fits], host[fits]
         if not len(rows):
             continue
         hosts = np.unique(host)
         members = ranges(g0[hosts], gsize[hosts])
-        out.append((number[members], home[members], np.zeros(len(members), np.int8), chunk[members]))
+        put(members, home[members], 0)
         for d in np.unique(depth[host]).tolist():
-            mine = depth[host] == d
-            r, h = rows[mine], g0[host[mine]]
+            deep = depth[host] == d
+            r, h = rows[deep], g0[host[deep]]
             for b in range(1 << d):
-                out.append((number[r], place(group[h], np.full(len(r), d), np.full(len(r), b)), np.ones(len(r), np.int8), chunk[r]))
-    number, where, role, chunk = map(np.concatenate, zip(*out))
-    by = np.lexsort((role, where, number, chunk))
-    number, where, role, chunk = (x[by] for x in (number, where, role, chunk))
-    first = np.flatnonzero(starts_of(chunk, number, where))
-    times = np.diff(np.append(first, len(by)))
-    number, where, role, chunk = (x[first] for x in (number, where, role, chunk))
+                put(r, place(group[h], np.full(len(r), d), np.full(len(r), b)), 1)
+    number, where, role, chunk, times = squeezed(out)[0]
     large = np.unique(np.concatenate([np.zeros(0, U), *(place(group[g0[g : g + 1]], depth[g : g + 1], np.array([b])) for g in np.flatnonzero(big).tolist() for b in range(1 << int(depth[g])))]))
     times = np.where(np.isin(where, large), 255, np.minimum(times, 255)).astype(np.uint8)
     rows = []
@@ -225,9 +323,9 @@ def send_sets(make, num: int, den: int, buckets: int, table: pa.Table, replies:
     cut = np.flatnonzero(starts_of(bucket[by])).tolist() if len(by) else []
     for a, z in zip(cut, [*cut[1:], len(by)]):
         t = by[a:z]
-        i = index[t]
+        i, of = np.unique(index[t], return_inverse=True)  # each set once, however many places of the bucket it goes to
         tokens = s.token[ranges(s.at[i], s.n[i])]
-        rows.append((int(bucket[t[0]]), me, pickle.dumps((number[t], where[t], role[t], s.n[i].astype(np.uint32), planes(tokens >> U(8), 7)), 5)))
+        rows.append((int(bucket[t[0]]), me, pickle.dumps((number[t], where[t], role[t], of.astype(np.uint32), s.n[i].astype(np.uint32), planes(tokens >> U(8), 7)), 5)))
     return blobs(rows)
 
 
@@ -280,11 +378,14 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def find_links(num: int, den: int, table: pa.Table) -> pa.Table:
     lean()
-    number, where, role, n, raw = zip(*(pickle.loads(x) for x in table["payload"].to_pylist()))
+    number, where, role, of, n, raw = zip(*(pickle.loads(x) for x in table["payload"].to_pylist()))
     token = np.concatenate([unplanes(r, int(k.sum()), 7) for r, k in zip(raw, n)])
+    sets = np.cumsum([0, *(len(k) for k in n)])
+    of = np.concatenate([o.astype(np.int64) + k for o, k in zip(of, sets)])
     number, where, role, n = map(np.concatenate, (number, where, role, n))
     n = n.astype(np.int64)
-    at = np.cumsum(n) - n
+    at = (np.cumsum(n) - n)[of]
+    n = n[of]
     by = np.lexsort((role, number, where))
     by = by[starts_of(where[by], number[by])]
     cut = np.flatnonzero(starts_of(where[by])).tolist()
@@ -331,8 +432,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def make(table: pa.Table) -> Sets:
         return Sets(table, words, shared.value, num, den)
 
-    def one(table: pa.Table) -> pa.Table:
-        return send_prefixes(make, buckets, table)
+    def first(table: pa.Table) -> pa.Table:
+        return send_tokens(make, buckets, table)
+
+    def second(table: pa.Table) -> pa.Table:
+        return answer_tokens(table)
+
+    def one(table: pa.Table, replies: pa.Table) -> pa.Table:
+        return send_prefixes(make, num, den, buckets, table, replies)
 
     def two(table: pa.Table) -> pa.Table:
         return find_visits(num, den, block, table)
@@ -350,7 +457,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(number, mask=n == 0)], names=["doc_id", "text_hash", "n_shingles", "class_id"])
 
     by_chunk = rows.groupBy("chunk")
-    visits = by_chunk.applyInArrow(one, blob).groupBy("bucket").applyInArrow(two, blob)
+    shared_tokens = by_chunk.applyInArrow(first, blob).groupBy("bucket").applyInArrow(second, blob)
+    visits = by_chunk.cogroup(shared_tokens.groupBy("chunk")).applyInArrow(one, blob).groupBy("bucket").applyInArrow(two, blob)
     links = by_chunk.cogroup(visits.groupBy("chunk")).applyInArrow(three, blob).groupBy("bucket").applyInArrow(four, "a long, b long")
     found = components(links)
     each = checkpointed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, class_id long"))
