@@ -220,6 +220,31 @@ def test_mixture_holds_everywhere():
     assert K.sizes(2048 * 2 + 1300, 2048) == [2048, 2048, 1024, 256, 16, 4]
 
 
+def test_proportions_can_be_given():
+    """Windows follow them until a source runs out; all is packed, and sources without a share come last."""
+    queues = [[(i, 100) for i in range(400)], [(1000 + i, 100) for i in range(400)], [(2000 + i, 50) for i in range(30)], [(3000 + i, 50) for i in range(30)]]
+    found = K.round_robin(queues, [0.75, 0.25, 0.0, 0.0], [0.0] * 4, 83_000, 2048, 512)
+    assert sum(x[2] for x in found) == 83_000
+    early = [x for x in found if x[3] < 15]
+    own = sum(x[2] for x in early if x[0] < 1000)
+    assert abs(own / sum(x[2] for x in early) - 0.75) < 0.03 and all(x[0] < 2000 for x in early)
+
+
+def test_sums_before(spark):
+    df = spark.range(5000).select(F.col("id").alias("p"), (F.col("id") % 7).alias("v"))
+    got = {r.p: r.s for r in K.summed_before(df, "p", {"v": "s"}, 64).collect()}
+    assert all(got[i] == sum(j % 7 for j in range(i)) for i in (0, 1, 63, 64, 65, 4999)) and len(got) == 5000
+
+
+def test_pack_takes_null_and_equal_ids(spark):
+    """All rows without an id, or with one, are dealt to lanes by their texts."""
+    for ident in (None, 3):
+        df = spark.createDataFrame([(ident, f"text number {i} " * 40, "s") for i in range(300)], "doc_id long, text string, source string")
+        got = K.pack(df, PATH, lane_tokens=4096, shares={"s": 1.0}).collect()
+        total = sum(r.length for r in got)
+        assert sum(r.doc_tokens for r in got if r.start == 0) == total and len({r.sequence_id for r in got}) >= total // 2048
+
+
 def test_arc():
     records = [({"url": "http://a.b/x y", "ip": "1.2.3.4", "date": "19990203040506", "type": "text/html", "result": 200}, b"HTTP/1.0 200 OK\r\nContent-Length: 3\r\n\r\nabc"), ({"url": "ftp://c", "ip": "-", "date": "1999", "type": "text/plain"}, b"\n\nplain\n"), ({"url": "http://e", "ip": "0.0.0.0", "date": "199902", "type": "text/html"}, b"")]
     for version in (1, 2):

@@ -166,8 +166,10 @@ def round_robin(queues: list, share: list, deficit: list, tokens: int, length: i
     active = [s for s, q in enumerate(queues) if q]
     left = room[0] if room else 0
     while active:
+        whole = sum(share[s] for s in active)
         for s in list(active):
-            deficit[s] += share[s] * length
+            # sources without a share come last; where little of the shares is left, the rest is parted by them
+            deficit[s] += length * (share[s] if whole >= 0.5 else share[s] / whole if whole > 0 else 1 / len(active))
             q = queues[s]
             while heads[s] < len(q):
                 doc, size = q[heads[s]]
@@ -222,12 +224,26 @@ def pack_lane(kind, length: int, packet: int, keep_ids: bool, table: pa.Table, c
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip([*cols, *([raw] if keep_ids else [])], schema)], schema=schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = 2048, packet: int = 512, lane_tokens: int = 4 << 20, keep_ids: bool = False) -> DataFrame:
+def summed_before(df: DataFrame, place: str, columns: dict, block: int = 4096) -> DataFrame:
+    """df (one row a place) with sums of columns over all smaller places, under new names. Blocks of places are summed first, so
+    the only ordered task has a row for each block."""
+    rows = df.withColumn("_block", F.floor(F.col(place) / block))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_block").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    sums = sums.select("_block", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in columns))
+    return rows.join(sums, "_block").select(place, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0))).alias(n) for c, n in columns.items()))
+
+
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = 2048, packet: int = 512, lane_tokens: int = 4 << 20, keep_ids: bool = False, shares: dict | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and, if asked
     for, the ids as little-endian unsigned 32-bit numbers.
 
-    tokenizer: path of a tokenizers file whose rules part texts at white space. Target proportions are the sources'
-    shares of all tokens, so that all queues end together. A null or empty text is just the id END. A null source is a
+    tokenizer: path of a tokenizers file whose rules part texts at white space. shares: target proportions by source (those
+    not named come after the others); by default the sources' shares of all tokens, so that all queues end together. With
+    other proportions windows follow them as long as a source lasts, and every document is still packed. Texts of any
+    length are read whole; documents of a source are taken in the order of ids and then of texts, equal ones next to each
+    other. A null or empty text is just the id END. A null source is a
     source of its own, a null id stays null, and repeated rows are packed as often as they occur. Other columns are
     ignored. packet: tokens served at once at most. lane_tokens: about what one task packs.
     """
@@ -247,18 +263,23 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     coded = checkpointed(frame.mapInArrow(tokenize, "doc_id long, source string, n_tokens long, ids binary"))
     tokens = coded.agg(F.sum("n_tokens")).first()[0] or 0
     lanes = max(1, -(-tokens // lane_tokens))
-    coded = coded.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
+    coded = coded.withColumn("lane", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(lanes)))
     # a row for each lane and source: few, next to the documents
     have = checkpointed(coded.groupBy("lane", "source").agg(F.sum("n_tokens").alias("n")))
     before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lane = have.groupBy("lane").agg(F.sum("n").alias("total"))
     rest = F.col("total") % length
     lane = lane.withColumn("sequences", F.expr(f"total div {length}") + F.bit_count(rest))
-    upto = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    lane = lane.select("lane", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("all_before"), F.coalesce(F.sum("sequences").over(upto), F.lit(0)).alias("first_sequence"))
+    lane = summed_before(lane, "lane", {"total": "all_before", "sequences": "first_sequence"})
     share = F.sum("n").over(Window.partitionBy("source")) / F.lit(max(1, tokens))
+    deficit = F.col("share") * F.col("all_before") - F.col("own_before")
+    if shares:
+        given = F.create_map(*(F.lit(x) for s, p in shares.items() for x in (s, float(p) / sum(shares.values()))))
+        share = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0))
+        # a source that runs out can't make up for it later
+        deficit = F.greatest(F.least(deficit, F.lit(float(length))), F.lit(-float(length)))
     carry = have.select("lane", "source", share.alias("share"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("own_before")).join(lane, "lane")
-    carry = carry.select(F.col("lane").alias("to_lane"), F.col("source").alias("of_source"), "share", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("deficit"), "first_sequence")
+    carry = carry.select(F.col("lane").alias("to_lane"), F.col("source").alias("of_source"), "share", deficit.alias("deficit"), "first_sequence")
 
     kind = Words(tokenizer).kind
 
@@ -266,4 +287,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         return pack_lane(kind, length, packet, keep_ids, table, known)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * keep_ids
+    # some lanes a task, however many there are
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-lanes // 4))
+    coded = coded.repartition(parts, "lane")
     return coded.groupBy("lane").cogroup(carry.groupBy("to_lane")).applyInArrow(one, schema)
