@@ -18,6 +18,7 @@ from textmend.llm.substring_dedup import substring_dedup, suffix_trees
 from textmend.llm.suffix_dedup import Prefixes, equal_windows, suffix_dedup, suffix_sort
 
 WORD = r"[^\x20\x09-\x0D]+"
+JOINED = "sha2(trim(regexp_replace(kept, '[\\\\x20\\\\x09-\\\\x0D]+', ' ')), 256)"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -128,6 +129,13 @@ def test_spans_give_what_stays(spark, rows):
         assert bytes(cut) == bytes(r.kept)
 
 
+def test_what_stays_keeps_its_lines(spark):
+    passage = "\n".join(f"p{i}" for i in range(35))
+    rows = [[1, f"one two\nthree\n{passage}\nfour\tfive  six\n"], [2, f"{passage} \n end\n\n"], [3, f" x {passage}"], [4, "a\nb"]]
+    got = {r.doc_id: r.kept for r in substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: "one two\nthree\nfour\tfive  six\n", 2: "end\n\n", 3: " x ", 4: "a\nb"}
+
+
 def test_word_spans_end_with_their_text(spark):
     """Copies side by side: each one's passage is a span of its own."""
     text = " ".join(f"w{i}" for i in range(40))
@@ -137,7 +145,7 @@ def test_word_spans_end_with_their_text(spark):
 
 @pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "bucket_bytes": 5000}])
 def test_substring_dedup(spark, rows, sizes):
-    got = substring_dedup(frame(spark, rows), **sizes).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    got = substring_dedup(frame(spark, rows), **sizes).select("doc_id", "n_words", "n_removed", F.expr(JOINED)).collect()
     assert sorted(map(tuple, got)) == brute_words(rows)
 
 
@@ -218,7 +226,7 @@ def test_hot_anchors_take_the_other_way(spark):
     rows = [[i, f"{''.join(rng.choice('abcdefgh ') for _ in range(60))} {passage} {''.join(rng.choice('abcdefgh ') for _ in range(60))}"] for i in range(400)]
     got = suffix_dedup(frame(spark, rows), chunk_bytes=20000).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert sorted(map(tuple, got)) == brute_bytes(rows)
-    got = substring_dedup(frame(spark, rows), chunk_bytes=20000).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    got = substring_dedup(frame(spark, rows), chunk_bytes=20000).select("doc_id", "n_words", "n_removed", F.expr(JOINED)).collect()
     assert sorted(map(tuple, got)) == brute_words(rows)
 
 

@@ -39,7 +39,8 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    words = F.trim(F.regexp_replace("kept", r"[\x20\x09-\x0D]+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,30 +99,29 @@ SCHEMA = "doc_id long, n_words long, n_removed long, span_starts array<long>, sp
 
 
 def _finish(chunk: Chunk, first: np.ndarray, end: np.ndarray) -> pa.Table:
-    n = len(chunk.first)
-    keep = np.ones(n, bool)
-    keep[ranges(first, end - first)] = False
-    words = np.flatnonzero(keep)
-    size = chunk.last[words] - chunk.first[words] + 1
-    text = chunk.data[ranges(chunk.first[words], size)].copy()
-    close = np.cumsum(size)
-    text[close - 1] = 32
-    upto = np.concatenate([[0], close])
-    lo, hi = np.searchsorted(words, chunk.lo), np.searchsorted(words, chunk.hi)
+    gone = ranges(first, end - first)
+    # a word goes with the white space after it, so what stays keeps its lines
+    row = np.searchsorted(chunk.hi, gone, "right")
+    upto = np.append(chunk.first, len(chunk.data))[gone + 1]
+    cut = np.minimum(upto, chunk.end[row]) - chunk.first[gone]
+    keep = np.ones(len(chunk.data), bool)
+    keep[ranges(chunk.first[gone], cut)] = False
+    raw = chunk.data[keep].tobytes()
+    size = np.concatenate([[0], np.cumsum(keep)])
+    kept = [raw[x:y] for x, y in zip(size[chunk.start].tolist(), size[chunk.end].tolist())]
     a, b = np.searchsorted(first, chunk.lo).tolist(), np.searchsorted(first, chunk.hi).tolist()
-    raw = text.tobytes()
-    kept = [raw[x : y - 1] if y > x else b"" for x, y in zip(upto[lo].tolist(), upto[hi].tolist())]
     total = chunk.hi - chunk.lo
+    left = np.bincount(row, minlength=len(total))
     spans = [(first[x:y] - z, end[x:y] - first[x:y]) for x, y, z in zip(a, b, chunk.lo.tolist())]
     return pa.Table.from_arrays(
-        [chunk.table["doc_id"].combine_chunks() if isinstance(chunk.table["doc_id"], pa.ChunkedArray) else chunk.table["doc_id"], pa.array(total), pa.array(total - (hi - lo)), pa.array([x for x, _ in spans], pa.list_(pa.int64())), pa.array([y for _, y in spans], pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string()), chunk.table["text_hash"]],
+        [chunk.table["doc_id"].combine_chunks() if isinstance(chunk.table["doc_id"], pa.ChunkedArray) else chunk.table["doc_id"], pa.array(total), pa.array(left), pa.array([x for x, _ in spans], pa.list_(pa.int64())), pa.array([y for _, y in spans], pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string()), chunk.table["text_hash"]],
         names=[x.split()[0] for x in SCHEMA.split(", ")],
     )
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, sampled: int = 24, chunk_bytes: int = 1 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """For each row: its id, words, removed words, removed spans (in words), the words that stay, joined by one space, and a hash of
-    the text.
+    """For each row: its id, words, removed words, removed spans (in words), the text that stays (removed words go with the white
+    space after them), and a hash of the text.
 
     A word is removed if a window of that many words covers it whose words also start anywhere else, in the same row or
     in another; all occurrences go. Null texts have no words; texts shorter than a window keep all; repeated rows remove
