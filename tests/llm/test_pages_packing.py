@@ -322,3 +322,19 @@ def test_pipeline(spark, tmp_path):
             assert after.agg(F.sum("length")).first()[0] == after.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
         at = after
     assert C.run(spark, d).count() == at.count()
+
+
+def test_pipeline_takes_empty_tables_and_other_columns(spark, tmp_path):
+    import corpus_pipeline as C
+
+    docs = "doc_id long, text string, lang string, source string, n_chars long, kept int, text_hash string, n_words string, chunk int, gone string"
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 1, 7, "h", "x", 2, "g"), (None, None, None, None, None, None, None, None, None, None), (2, "", "en", None, 0, 7, "h", "x", 2, "g"), (3, text + " more", None, "a", 1, 7, "h", "x", 2, "g")]
+    for name, data in (("full", rows), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, docs).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        out = C.run(spark, d)
+        assert {"doc_id", "start", "length", "sequence_id"} <= set(out.columns)
+        assert sorted({r.doc_id for r in out.collect()}) == ([1] if data else [])
