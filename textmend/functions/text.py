@@ -149,6 +149,20 @@ def bracketed(text: Column, k: Column) -> Column:
     return F.when(F.size(found) == k, found)
 
 
+def decade(year: Column) -> Column:
+    return (F.floor(year / 10) * 10).cast("int")
+
+
+def hits(text: Column, pattern: str) -> Column:
+    """How often a pattern occurs."""
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
+
+
+def separators(core: Column) -> Column:
+    """What lies between the parts of a core, in order."""
+    return F.regexp_extract_all(core, F.lit(f"(?<=[0-9A-Za-zÀ-ɏ])({INNER})(?=[0-9A-Za-zÀ-ɏ])"), 1)
+
+
 def multiword(answers: Column) -> Column:
     """Positions of answers with a space inside."""
     spaced = F.transform(answers, lambda w, i: F.when(F.instr(F.trim(w), " ") > 0, i))

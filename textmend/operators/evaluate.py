@@ -80,6 +80,16 @@ def long_metrics(scores: DataFrame, metrics: dict = METRICS) -> DataFrame:
     return scores.selectExpr("method", "level", "id", f"stack({len(metrics)}, {stack}) as (metric, num, den)")
 
 
+def value_vectors(long: DataFrame, expected: DataFrame) -> DataFrame:
+    """method, level, metric, num, den: values in the order of ids, the same for all groups. A group that lacks one of the
+    expected ids, or has one twice, ends the query with an error. A group's sentences are held in one row."""
+    rows = long.groupBy("method", "level", "metric").agg(F.array_sort(F.collect_list(F.struct("id", "num", "den"))).alias("v"))
+    want = expected.select("id").distinct().agg(F.array_sort(F.collect_list("id")).alias("want"))
+    ids = F.transform("v", lambda x: x["id"])
+    ok = F.when(ids == F.col("want"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("incomplete: "), "method", F.lit(" "), "level")).cast("boolean"))
+    return rows.crossJoin(F.broadcast(want)).where(ok).select("method", "level", "metric", F.transform("v", lambda x: x["num"]).alias("num"), F.transform("v", lambda x: x["den"]).alias("den"))
+
+
 def bootstrap(long: DataFrame, draws: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """method, level, metric, value, low, high: sum(num) / sum(den) and a percentile interval over resampled sentences.
 

@@ -223,6 +223,18 @@ def batches(df: DataFrame, size: int, seed: int, epoch: int, key: str) -> DataFr
     return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
 
 
+def fact_sample(sentences: DataFrame, n: int, seed: int) -> DataFrame:
+    """n places (id, idx) of fact tokens in the order of a hash, for a check by hand."""
+    rows = sentences.select("id", F.explode("fact_idx").alias("idx"))
+    return rows.orderBy(hash_key(seed, "facts", F.col("id"), F.col("idx")), "id", "idx").limit(n)
+
+
+def probe_sample(pool: DataFrame, seed: int) -> DataFrame:
+    """As many train rows as there are val rows, in the order of a hash: a probe of what training has seen."""
+    train = pool.where("usage = 'train'")
+    return seeded_examples(train, pool.where("usage = 'val'").count(), seed, "probe")
+
+
 def quota_first(df: DataFrame, group: str, quota: dict, order: list) -> DataFrame:
     """The first rows of each group in an order, as many as a short table of quotas says."""
     most = F.coalesce(*(F.when(F.col(group) == k, F.lit(n)) for k, n in quota.items()), F.lit(0))

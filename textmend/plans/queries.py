@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmend.functions import text as T
-from textmend.functions.draws import hash_key
 from textmend.operators import calibrate as C
 from textmend.operators import damage as D
 from textmend.operators import evaluate as E
@@ -25,8 +24,7 @@ from textmend.sources import store as Z
 SEED = CONFIG["seed"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: A small table of confusions, for damage without a calibration.
-TABLE = D.confusion_table([("e", "c", 9), ("e", "o", 3), ("h", "b", 6), ("n", "u", 5), ("u", "n", 4), ("t", "l", 4), ("m", "rn", 3), ("i", "l", 3), ("a", "o", 2), ("r", "", 4)])
+TABLE = Q.TABLE
 
 
 def query(sql: str | None = None):
@@ -132,12 +130,12 @@ def html_unescape(spark, sf):
 @query("SELECT (year(o_orderdate) // 10 * 10)::INT AS decade, count(*) AS orders, min(year(o_orderdate))::INT AS first_year FROM orders GROUP BY 1")
 def decades(spark, sf):
     year = F.substring(F.col("o_orderdate").cast("string"), 1, 4).cast("int")
-    return _t(spark, sf, "orders").groupBy((F.floor(year / 10) * 10).cast("int").alias("decade")).agg(F.count("*").alias("orders"), F.min(year).alias("first_year"))
+    return _t(spark, sf, "orders").groupBy(T.decade(year).alias("decade")).agg(F.count("*").alias("orders"), F.min(year).alias("first_year"))
 
 
 @query("SELECT lang, sum(len(regexp_extract_all(text, '[A-Za-z]- [a-z]'))) AS hits FROM documents GROUP BY lang")
 def broken_words(spark, sf):
-    return _t(spark, sf, "documents").groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit("[A-Za-z]- [a-z]"))).cast("long").alias("hits"))
+    return _t(spark, sf, "documents").groupBy("lang").agg(F.sum(T.hits(F.col("text"), "[A-Za-z]- [a-z]")).alias("hits"))
 
 
 # pool and samples
@@ -236,7 +234,7 @@ def batch_assign(spark, sf):
 
 @query(f"WITH {NAMES} SELECT gold, ocr FROM pairs ORDER BY sha256(concat_ws(':', '{SEED}', gold, ocr)), gold LIMIT 20")
 def random_pairs(spark, sf):
-    return _name_pairs(spark, sf).orderBy(hash_key(SEED, F.col("gold"), F.col("ocr")), "gold").limit(20).select("gold", "ocr")
+    return C.random_pairs(_name_pairs(spark, sf), 20, SEED)
 
 
 @query()
@@ -303,14 +301,15 @@ def damage_plan(spark, sf):
     return plan.select("id", "idx", "token", F.col("plan.dropped").alias("dropped"), F.when(~F.col("plan.dropped"), F.size("plan.ops")).alias("altered"))
 
 
-@query()
+@query(Q.RECORDS)
 def damage_records(spark, sf):
     return _damage(spark, sf).select("id", "severity", "k", "anchor_idx", "span_start", "span_end", "corrupted_text", D.mark_damage(F.col("gold_tokens"), F.col("ops_per_word")).alias("marked"))
 
 
-@query()
+@query(Q.DAMAGE_STATS)
 def damage_stats(spark, sf):
-    return D.damage_stats(_damage(spark, sf).where("severity = '75'"))
+    out = D.damage_stats(_damage(spark, sf).where("severity = '75'"))
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
 @query()
@@ -318,7 +317,7 @@ def cer_by_level(spark, sf):
     return D.cer_by_level(_damage(spark, sf))
 
 
-@query()
+@query("SELECT 0::BIGINT rows_off, 0::BIGINT not_clean, 0::BIGINT plans_off, 0::BIGINT double_keys")
 def damage_checks(spark, sf):
     return Z.check_damage(_damage(spark, sf), _pool(spark, sf).count(), len(LEVELS))
 
@@ -326,14 +325,14 @@ def damage_checks(spark, sf):
 # slots and word lists
 
 
-@query()
+@query(Q.VIEWS)
 def slot_views(spark, sf):
     v = L.build_slots(_damage(spark, sf).where("k > 0"))
     w, s = F.col("words"), F.col("slots")
     return v.select("id", "severity", L.slot_view(w, s).alias("plain"), L.numbered_view(w, s).alias("numbered"), L.brace_view(w, s).alias("braces"))
 
 
-@query()
+@query("SELECT 0::BIGINT gold_off, 0::BIGINT damaged_off")
 def splice_round_trip(spark, sf):
     """Both counts are 0: golds give the sentence as it was, damaged forms the damaged one."""
     d = _damage(spark, sf)
@@ -454,15 +453,6 @@ def answer_parse(spark, sf):
 # store
 
 
-@query("SELECT count(*) AS pending, count(DISTINCT user_id) AS users FROM (SELECT DISTINCT user_id, event_type FROM events) a WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase')")
-def store_resume(spark, sf):
-    """Users' steps that are still to do: those of users without a purchase."""
-    e = _t(spark, sf, "events")
-    done = e.where("event_type = 'purchase'").select("user_id").distinct()
-    todo = e.where("event_type <> 'purchase'").select("user_id", "event_type").distinct().join(done, "user_id", "left_anti")
-    return todo.agg(F.count("*").alias("pending"), F.countDistinct("user_id").alias("users"))
-
-
 @query("SELECT o_orderpriority AS method, coalesce(o_orderstatus, 'all') AS level, count(*) FILTER (WHERE o_totalprice > 100000) AS failures, count(*) AS rows FROM orders GROUP BY GROUPING SETS ((o_orderpriority, o_orderstatus), (o_orderpriority))")
 def format_failures(spark, sf):
     o = _t(spark, sf, "orders").select(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("severity"), (F.col("o_totalprice") <= 100000).alias("format_ok"))
@@ -540,7 +530,7 @@ def interval_pivot(spark, sf):
 
 @query("SELECT l_returnflag AS level, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 6) AS F, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O'), 6) AS O FROM lineitem GROUP BY 1")
 def grid_means(spark, sf):
-    x = _t(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("level")).pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity"))
+    x = E.level_grid(_t(spark, sf, "lineitem").withColumnRenamed("l_returnflag", "level"), "l_linestatus", ["F", "O"], "l_quantity")
     return x.select("level", F.round("F", 6).alias("F"), F.round("O", 6).alias("O"))
 
 

@@ -1,6 +1,7 @@
 """Parts of DuckDB SQL that several queries share."""
 
 from textmend.functions.text import NOT_FACTS, STRIPPED, TITLES
+from textmend.operators import damage as D
 from textmend.operators.pool import LENGTH_BINS
 from textmend.schemas import CONFIG
 
@@ -53,3 +54,47 @@ def edge(x: str, part: int) -> str:
 
 
 LEXICON = f"{PARAS}, lex AS (SELECT word, count(*) n FROM (SELECT {edge('t', 2)} word FROM (SELECT unnest({words('p')}) t FROM (SELECT unnest(ps) p FROM paras))) WHERE word <> '' GROUP BY word)"
+
+
+#: A small table of confusions, for damage without a calibration.
+TABLE = D.confusion_table([("e", "c", 9), ("e", "o", 3), ("h", "b", 6), ("n", "u", 5), ("u", "n", 4), ("t", "l", 4), ("m", "rn", 3), ("i", "l", 3), ("a", "o", 2), ("r", "", 4)])
+
+
+def _substitutes() -> str:
+    rows = []
+    for c in sorted({*TABLE, *(x for x in map(str.upper, TABLE) if len(x) == 1), *D.LOOK_ALIKE}):
+        found, source = D.choices_of(TABLE, c)
+        upto = 0
+        for other, n in found:
+            rows.append(f"('{c}', '{source}', '{other}', {upto}, {upto + n}, {sum(m for _, m in found)})")
+            upto += n
+    return "(VALUES " + ", ".join(rows) + ") s(c, source, dst, lo, hi, total)"
+
+
+_KEY = ("id", "i::VARCHAR", "j::VARCHAR")
+#: dmg (id, idx, token, is_anchor, dropped, n, m, dels, subs by source, out): the plan of each word of the widest span.
+DAMAGE = f"""{SPANS},
+tok AS (SELECT id, i, i = anchor is_anchor, w[i + 1] token, string_split(w[i + 1], '') cs FROM (SELECT id, anchor, w, unnest(range(span_start, span_start + k)) i FROM span WHERE severity = '75')),
+able AS (SELECT *, list_filter(range(0, len(cs)), lambda j: regexp_matches(cs[j + 1], '^[\\p{{L}}\\p{{N}}]$')) js FROM tok),
+rolled AS (SELECT *, len(js) n, {uniform("'drop'", 'id', 'i::VARCHAR')} d, 0.2::DOUBLE + {uniform("'intensity'", 'id', 'i::VARCHAR')} * (0.3::DOUBLE - 0.2::DOUBLE) p FROM able),
+plan AS (SELECT *, n = 0 OR (NOT is_anchor AND d < 0.1::DOUBLE) dropped, least(n, greatest(1, floor(p * n + 0.5)))::INT m FROM rolled),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id, i ORDER BY {uniform("'position'", *_KEY)}, j) place FROM (SELECT id, i, n, m, cs, unnest(js) j FROM plan WHERE NOT dropped)),
+wish AS (SELECT id, i, n, m, j, cs[j + 1] c, {uniform("'kind'", *_KEY)} < 0.25::DOUBLE del FROM placed WHERE place <= m),
+cut AS (SELECT *, del AND coalesce(sum(del::INT) OVER (PARTITION BY id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < least(2, n - 1, m) gone, {draw("'choice'", *_KEY)} pick, {draw("'random'", *_KEY)} roll,
+ replace(CASE WHEN regexp_matches(c, '^\\p{{Ll}}') THEN '{D.LOWER}' WHEN regexp_matches(c, '^\\p{{Lu}}') THEN '{D.UPPER}' ELSE '{D.DIGITS}' END, c, '') pool FROM wish),
+op AS (SELECT id, i, j, gone, CASE WHEN gone THEN NULL WHEN s.c IS NULL THEN 'fallback_random' ELSE s.source END AS source, CASE WHEN gone THEN '' WHEN s.c IS NULL THEN substr(pool, roll % length(pool) + 1, 1) ELSE s.dst END AS new
+ FROM cut LEFT JOIN {_substitutes()} ON s.c = cut.c AND pick % s.total >= s.lo AND pick % s.total < s.hi),
+made AS (SELECT id, i, string_agg(coalesce(op.new, c), '' ORDER BY j) AS out, count(*) FILTER (WHERE gone) dels, {', '.join(f"count(*) FILTER (WHERE source = '{x}') {x}" for x in ('table', 'table_casefold', 'fallback_map', 'fallback_random')).replace(') table,', ') from_table,')}
+ FROM (SELECT id, i, unnest(cs) c, generate_subscripts(cs, 1) - 1 j FROM plan WHERE NOT dropped) LEFT JOIN op USING (id, i, j) GROUP BY id, i),
+dmg AS (SELECT id, i idx, token, is_anchor, dropped, n, m, coalesce(made.out, '') AS out, dels, from_table, table_casefold, fallback_map, fallback_random FROM plan LEFT JOIN made USING (id, i)),
+spot AS (SELECT e.*, d.idx, d.out, d.dropped FROM (SELECT id, severity, k, anchor, span_start, fact_idx, unnest(w) t, generate_subscripts(w, 1) - 1 pos FROM span) e LEFT JOIN dmg d ON d.id = e.id AND d.idx = e.pos AND e.pos >= span_start AND e.pos < span_start + k)"""
+RECORDS = f"""WITH {DAMAGE} SELECT id, severity, any_value(k)::INT k, any_value(anchor)::INT anchor_idx, any_value(span_start)::INT span_start, any_value(span_start + k)::INT span_end,
+coalesce(string_agg(CASE WHEN idx IS NULL THEN t ELSE out END, ' ' ORDER BY pos) FILTER (WHERE idx IS NULL OR out <> ''), '') corrupted_text, string_agg(CASE WHEN idx IS NULL THEN t ELSE '[[' || out || ']]' END, ' ' ORDER BY pos) marked FROM spot GROUP BY id, severity"""
+DAMAGE_STATS = f"""WITH {DAMAGE}, x AS (SELECT *, CASE WHEN dropped THEN 0 ELSE m END AS ops, coalesce(dels, 0) del FROM dmg)
+SELECT count(*) damaged_words, round(avg(dropped::INT), 6) share_dropped, round(sum(del) / sum(ops), 6) deletion_share, {', '.join(f"round(sum({c}) / sum(ops - del), 6) source_{x}" for x, c in (('table', 'from_table'), ('table_casefold', 'table_casefold'), ('fallback_map', 'fallback_map'), ('fallback_random', 'fallback_random')))},
+{', '.join(f"round(avg(m / n) FILTER (WHERE NOT dropped AND n BETWEEN {lo} AND {hi}), 6) intensity_{b}" for b, lo, hi in (('1_3', 1, 3), ('4_6', 4, 6), ('7', 7, 10**6)))},
+round(avg(dropped::INT) FILTER (WHERE is_anchor), 6) anchor_dropped, round(avg(dropped::INT) FILTER (WHERE NOT is_anchor), 6) other_dropped, count(*) FILTER (WHERE regexp_matches(token, '[\\p{{Nd}}²³¹⁰-⁹]')) digit_words, count(*) FILTER (WHERE n = 0) no_alnum FROM x"""
+_SEEN = "CASE WHEN dropped THEN '{0}' ELSE {1} END"
+VIEWS = f"""WITH {DAMAGE}, s AS (SELECT *, count(idx) OVER (PARTITION BY id, severity ORDER BY pos) nr FROM spot WHERE k > 0)
+SELECT id, severity, string_agg(CASE WHEN idx IS NULL THEN t ELSE '⟨' || {_SEEN.format('?', 'out')} || '⟩' END, ' ' ORDER BY pos) AS plain, string_agg(CASE WHEN idx IS NULL THEN t ELSE '⟨' || nr || ': ' || {_SEEN.format('?', 'out')} || '⟩' END, ' ' ORDER BY pos) numbered,
+string_agg(CASE WHEN idx IS NULL THEN t ELSE '{{ ' || {_SEEN.format('?', 'out')} || ' }}' END, ' ' ORDER BY pos) braces FROM s GROUP BY id, severity"""

@@ -19,6 +19,23 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.expr("url_decode(replace(doc_id, '+', '%2B'))").alias("doc_id"), T.normalize(F.col("value")).alias("paragraphs"))
 
 
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """A file name.txt for each row (name, text); names are different and few enough to be files. Spark writes a folder for each
+    name, whose file is then renamed."""
+    spark = rows.sparkSession
+    rows.select("name", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("name").option("lineSep", "\0").text(f"{folder}/parts")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    path = jvm.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(jvm.Path(f"{folder}/parts/name=*/part-*")):
+        at = part.getPath()
+        content = files.open(at).readAllBytes()
+        out = files.create(jvm.Path(path, at.getParent().getName().removeprefix("name=") + ".txt"))
+        out.write(bytearray(content[:-1]))  # without the separator
+        out.close()
+    files.delete(jvm.Path(path, "parts"), True)
+
+
 def read_pairs(spark: SparkSession, gold: str, other: str) -> DataFrame:
     """doc_id, gold, other: texts of two folders with the same names, each as one line."""
     line = lambda folder, name: read_texts(spark, folder).select("doc_id", F.array_join("paragraphs", " ").alias(name))
