@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmend.sources.store import shared_folder
+
 
 def sized(docs: DataFrame, text: str) -> int:
     """Bytes of text in all rows."""
@@ -21,20 +23,6 @@ def counts(total: int, chunk_bytes: int, bucket_bytes: int) -> tuple[int, int]:
     return max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
 
 
-def shared_folder(spark) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. In local mode, where the driver is the only
-    executor, one is set up if the session names none; on a cluster that is an error."""
-    import tempfile
-
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if told is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return told or context.getCheckpointDir()
-
-
 _LEFT: set = set()
 
 

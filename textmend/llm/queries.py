@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textmend.sources.corpus import spread
 
 from . import decontaminate, html_extract, toxicity, url_filters, warc
+from . import quality_rules as quality_rules_module
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import pack
 from .quality_rules import fit, quality_rules
@@ -30,7 +31,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     ratio = fit(docs, labels.where("quality = 1").select("doc_id"))
     out = quality_rules(docs.select("doc_id", "text"), ratio)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,19 @@ gap AS (SELECT doc_id, h, coalesce(lag(z) OVER w, 0) a, a z, a = max(a) OVER (PA
 kept AS (SELECT doc_id, h, string_agg(substr(x, 2 * gap.a + 1, 2 * (gap.z - gap.a)) || CASE WHEN final THEN substr(x, 2 * after + 1) ELSE '' END, '' ORDER BY gap.a) x, count(*) n_spans FROM gap JOIN d USING (doc_id, h) GROUP BY ALL)
 SELECT o.doc_id, len(d.x) // 2 AS n_bytes, (len(d.x) - len(coalesce(kept.x, d.x))) // 2 AS n_removed, coalesce(n_spans, 0)::BIGINT n_spans, sha256(unhex(coalesce(kept.x, d.x))) kept_sha256
 FROM documents o JOIN d ON o.doc_id = d.doc_id AND md5(coalesce(text, '')) = d.h LEFT JOIN kept ON d.doc_id = kept.doc_id AND d.h = kept.h""",
+    "op2_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} w, hex(encode(coalesce(text, ''))) x FROM documents),
+line AS (SELECT r, unnest(string_split(t, chr(10))) x FROM d), dup AS (SELECT r, count(*) - count(DISTINCT x) n FROM line WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+win AS (SELECT r, p, array_to_string(w[p : p + 7], ' ') v FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 6))) p FROM d)), again AS (SELECT r, v FROM win GROUP BY r, v HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT q) n FROM (SELECT r, unnest(range(p, p + 8)) q FROM win JOIN again USING (r, v)) GROUP BY r),
+gram AS (SELECT r, v, count(*) c FROM (SELECT r, substr(x, 2 * p + 1, 8) v FROM (SELECT r, x, unnest(range(0, greatest(0, len(x) // 2 - {quality_rules_module.ORDER - 1}))) p FROM d)) GROUP BY r, v),
+slot AS (SELECT v, (('0x' || v[7:8] || v[5:6] || v[3:4] || v[1:2])::BIGINT::HUGEINT * 2654435761 % 4294967296 // 65536)::INT s FROM (SELECT DISTINCT v FROM gram)),
+trusted AS (SELECT r FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+n AS (SELECT s, sum(c) raw, coalesce(sum(c) FILTER (WHERE r IN (SELECT r FROM trusted)), 0) target FROM gram JOIN slot USING (v) GROUP BY s), whole AS (SELECT sum(raw) raws, sum(target) targets FROM n),
+ratio AS (SELECT s, CASE WHEN targets = 0 THEN 0 ELSE ln((target + 0.5) / (targets + {quality_rules_module.SLOTS // 2})) - ln((raw + 0.5) / (raws + {quality_rules_module.SLOTS // 2})) END::FLOAT::DOUBLE v FROM n, whole),
+score AS (SELECT r, sum(c * ratio.v) / sum(c) score FROM gram JOIN slot USING (v) JOIN ratio USING (s) GROUP BY r),
+base AS (SELECT d.r, doc_id, len(w)::BIGINT n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols, coalesce(dup.n, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words, coalesce(score, 0) score FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN score USING (r)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= {quality_rules_module.THRESHOLD} AS kept, round(score, 6) AS score FROM judged""",
     "op3_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} w FROM documents),
 sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) s FROM w),
 n AS (SELECT doc_id, count(*) n FROM sh GROUP BY doc_id),
