@@ -226,11 +226,15 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS, seed:
                 m += 0.1 * (g[k] - m)
                 s += 0.01 * (g[k] * g[k] - s)
                 v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6) + rate * 1e-4 * v
-    # documents' highest windows on a logistic scale
     score = np.full(len(texts), -np.inf)
     np.maximum.at(score, doc, logits(np.arange(len(doc))))
     have = np.isfinite(score)
-    x, y = score[have], toxic[have].astype(float)
+    return p | {"platt": scale(score[have], toxic[have])}
+
+
+def scale(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Documents' highest windows on a logistic scale, both classes with the same weight."""
+    y = toxic.astype(float)
     w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     ab = np.array([1.0, 0.0])
     for _ in range(50):
@@ -240,7 +244,7 @@ def train(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS, seed:
         k = w * q * (1 - q) + 1e-6
         hess = np.array([[(k * x * x).sum() + 0.01, (k * x).sum()], [(k * x).sum(), k.sum()]])
         ab -= np.clip(np.linalg.solve(hess, grad), -1, 1)
-    return p | {"platt": ab}
+    return ab
 
 
 MOST_WORDS = 1 << 18  # words whose vectors a task remembers; a new start beyond it changes no result
@@ -272,8 +276,8 @@ class Vectors:
         return self.at[place][which]
 
 
-def score_texts(p: dict, col, known: Vectors | None = None) -> np.ndarray:
-    """Score of each text, from all its windows."""
+def highest(p: dict, col, known: Vectors | None = None) -> np.ndarray:
+    """The network's highest output over all windows of each text."""
     lean()
     known = known or Vectors()
     data, first, end = joined(col)
@@ -298,7 +302,12 @@ def score_texts(p: dict, col, known: Vectors | None = None) -> np.ndarray:
         logit[r] = forward(p, xs, index, mask)[0]
     best = np.full(len(first), -np.inf)
     np.maximum.at(best, of, logit)
-    ab = p["platt"]
+    return best
+
+
+def score_texts(p: dict, col, known: Vectors | None = None) -> np.ndarray:
+    """Score of each text, from all its windows."""
+    best, ab = highest(p, col, known), p["platt"]
     return 1 / (1 + np.exp(-np.clip(ab[0] * best + ab[1], -30, 30)))
 
 
@@ -307,7 +316,11 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: tuple[int, int] = MOST_DOCS, most_windows: int = MOST_WINDOWS) -> dict:
-    """Trains on a bounded sample of labelled rows, none of them held out. Rows without an id or a label aren't used."""
+    """Trains on a bounded sample of labelled rows, none of them held out. Rows without an id or a label aren't used.
+
+    The driver trains the network on windows of these rows, most_windows of a row at most, evenly spread (so of a long toxic
+    row the one window that makes it toxic may be left out). The scale of the scores is then fitted on all windows of all
+    these rows, where the texts are."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
     known = known.where(~is_held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     sample = None
@@ -328,13 +341,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = texts.select(F.col("id").cast("string").alias("id"), "text", "label").mapInArrow(cut, "id string, label int, windows array<string>").collect()
     rows.sort(key=lambda r: (r.id, r.windows))
-    return train([r.windows for r in rows], np.array([r.label for r in rows], np.int64))
+    model = train([r.windows for r in rows], np.array([r.label for r in rows], np.int64))
+
+    def judge(batches):
+        lean()
+        for batch in batches:
+            for part in pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(highest(model, part.column(1)).astype(np.float64))], names=["label", "best"])
+
+    told = texts.select("label", "text").mapInArrow(judge, "label int, best double").collect()
+    told = sorted((r.best, r.label) for r in told if np.isfinite(r.best))
+    if told:
+        model["platt"] = scale(np.array([b for b, _ in told]), np.array([y for _, y in told]))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """All columns of docs (but one named score) and score, from 0 to 1.
 
-    Only the text counts. A null or empty text gets the score of an empty window; each row is scored alone."""
+    Only the text counts, all of it however long it is. A null or empty text gets the score of an empty window; each row is
+    scored alone, so repeated rows get the same score, and so do texts that differ only in the case of A-Z."""
     rest = [c for c in docs.columns if c != "score"]
     at = rest.index(text_col)
     frame = docs.select(*rest).withColumn(text_col, F.col(text_col).cast("string"))
