@@ -281,6 +281,33 @@ def test_warc_round_trip(spark):
     assert W.round_trip(df.limit(0)).count() == 0
 
 
+def test_each_record_is_a_member(spark, tmp_path):
+    """Archives are plain gzip members, one a record (more only for very long ones), each file beginning with a warcinfo."""
+    import zlib
+
+    rows = [(i, f"http://a/{i}", f"page {i} " * 50) for i in range(150)] + [(200, "http://long", "z" * (9 << 20))]
+    folder = str(tmp_path / "warc")
+    W.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), folder, archive_bytes=20_000, file_bytes=60_000, date="20200102030405")
+    files = list((tmp_path / "warc").glob("part-*"))
+    kinds, ids = collections.Counter(), []
+    for f in files:
+        data, heads, whole = f.read_bytes(), [], b""
+        while data:
+            d = zlib.decompressobj(31)
+            part = d.decompress(data) + d.flush()
+            assert d.eof  # nothing lies between members
+            data, whole = d.unused_data, whole + part
+            heads.append(part[:9])
+        read = list(W.read_warc(whole))
+        long = sum(len(b) > W.MEMBER for _, b in read)
+        assert len(heads) == len(read) + long and read[0][0]["warc-type"] == "warcinfo"
+        assert all(x["warc-date"] == "2020-01-02T03:04:05Z" for x, _ in read)
+        kinds.update(x["warc-type"] for x, _ in read)
+        ids += [x["warc-record-id"] for x, _ in read]
+    assert kinds["response"] == 151 and kinds["warcinfo"] >= len(files) > 1 and len(set(ids)) == len(ids)
+    assert W.read_pages(spark, folder).count() == 151
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage on its own input against brute force, and the whole."""
     import re

@@ -14,10 +14,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import lean
+from .arrays import lean, pieces
 from .exchange import shared_folder
 
 FIELDS = {
@@ -150,15 +151,32 @@ def read_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         yield fields, data[end + 4 : at]
 
 
-def page_record(page_id: object, url: str | None, body: bytes) -> tuple[dict, bytes]:
+MEMBER = 1 << 23
+
+
+def members(record: bytes) -> bytes:
+    """A record with its line ends, as a gzip member; one of more than MEMBER bytes as several. The last byte of a member is the
+    highest of its size, which is 0 for so few bytes."""
+    record += END.encode()
+    return b"".join(gzip.compress(record[i : i + MEMBER], 6, mtime=0) for i in range(0, len(record), MEMBER))
+
+
+def task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
+def page_record(page_id: object, url: str | None, body: bytes, date: str = "20240101000000", ip: str = "192.0.2.1") -> tuple[dict, bytes]:
     """ARC header values and content of a page. White space and control characters of a url are escaped."""
     head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n"
     url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or "about:blank"
-    return {"url": url, "ip": "192.0.2.1", "date": "20240101000000", "type": "text/html", "result": 200}, head.encode() + body
+    return {"url": url, "ip": ip, "date": date, "type": "text/html", "result": 200}, head.encode() + body
 
 
-def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, file_bytes: int = 16 << 20) -> None:
-    """Writes pages to WARC archives (gzip) in folder, by way of ARC archives.
+def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, file_bytes: int = 16 << 20, archive_bytes: int = 4 << 20, date: str = "20240101000000", ip: str = "192.0.2.1") -> None:
+    """Writes pages to WARC archives in folder, by way of ARC archives of archive_bytes or one page at least. Each ARC archive's
+    version block becomes a warcinfo record, and each record is a gzip member of its own. As pages tell neither, all have
+    the given date and address.
 
     Of pages with equal payloads of least_bytes or more, that with the smallest id is a response (all of them, if the id
     occurs again) and the others are revisits of it; a null id is larger than any other. Null html is an empty payload.
@@ -176,17 +194,18 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         count = 0
         for batch in batches:
             for i in range(0, len(batch), 64):
-                part = batch.slice(i, 64)
-                ids, urls, bodies, refers = (c.to_pylist() for c in part.columns)
-                archive = write_arc([page_record(*x) for x in zip(ids, urls, bodies)], version=1 + count % 2)
-                count += 1
-                found = [x for x in read_arc(archive) if not x[0]["first"]]
-                out = [convert(v, content, "null" if k is None else k, r, True) for (v, content), k, r in zip(found, ids, refers)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    size = pages.select(F.avg(F.octet_length(F.col(html_col).cast("string")))).first()[0] or 0
-    records = known.mapInArrow(each, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(file_bytes / (size + 1000)))).text(folder)
+                for part in pieces(batch.slice(i, 64), 2, archive_bytes):
+                    ids, urls, bodies, refers = (c.to_pylist() for c in part.columns)
+                    archive = write_arc([page_record(*x, date, ip) for x in zip(ids, urls, bodies)], 1 + count % 2, f"pages-{task()}-{count}.arc", date)
+                    count += 1
+                    (info, block), *found = read_arc(archive)
+                    out = [convert(info, block), *(convert(v, content, "null" if k is None else k, r, True) for (v, content), k, r in zip(found, ids, refers))]
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(map(members, out))[:-1]], pa.binary())], names=["archive"])
+
+    archives = known.mapInArrow(each, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    # the byte that Spark writes after each row is the last one of its last member
+    writer = archives.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, file_bytes // archive_bytes))
+    writer.text(folder)
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
