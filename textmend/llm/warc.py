@@ -173,7 +173,7 @@ def page_record(page_id: object, url: str | None, body: bytes, date: str = "2024
     return {"url": url, "ip": ip, "date": date, "type": "text/html", "result": 200}, head.encode() + body
 
 
-def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, file_bytes: int = 16 << 20, archive_bytes: int = 4 << 20, date: str = "20240101000000", ip: str = "192.0.2.1") -> None:
+def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, file_bytes: int = 16 << 20, archive_bytes: int = 2 << 20, date: str = "20240101000000", ip: str = "192.0.2.1") -> None:
     """Writes pages to WARC archives in folder, by way of ARC archives of archive_bytes or one page at least. Each ARC archive's
     version block becomes a warcinfo record, and each record is a gzip member of its own. As pages tell neither, all have
     the given date and address.
@@ -193,14 +193,18 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         lean()
         count = 0
         for batch in batches:
-            for i in range(0, len(batch), 64):
-                for part in pieces(batch.slice(i, 64), 2, archive_bytes):
-                    ids, urls, bodies, refers = (c.to_pylist() for c in part.columns)
-                    archive = write_arc([page_record(*x, date, ip) for x in zip(ids, urls, bodies)], 1 + count % 2, f"pages-{task()}-{count}.arc", date)
-                    count += 1
-                    (info, block), *found = read_arc(archive)
-                    out = [convert(info, block), *(convert(v, content, "null" if k is None else k, r, True) for (v, content), k, r in zip(found, ids, refers))]
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(map(members, out))[:-1]], pa.binary())], names=["archive"])
+            for part in pieces(batch, 2, archive_bytes):
+                ids, urls, bodies, refers = (c.to_pylist() for c in part.columns)
+                archive = write_arc([page_record(*x, date, ip) for x in zip(ids, urls, bodies)], 1 + count % 2, f"pages-{task()}-{count}.arc", date)
+                count += 1
+                del part, urls, bodies
+                keys, found, out = iter(zip(ids, refers)), read_arc(archive), []
+                for values, content in found:
+                    key, refers_to = (None, None) if values["first"] else next(keys)
+                    record = convert(values, content) if values["first"] else convert(values, content, "null" if key is None else key, refers_to, True)
+                    out.append(members(record))
+                del archive
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], names=["archive"])
 
     archives = known.mapInArrow(each, "archive binary").select(F.col("archive").cast("string").alias("value"))
     # the byte that Spark writes after each row is the last one of its last member
