@@ -11,6 +11,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -161,6 +162,20 @@ def members(record: bytes) -> bytes:
     return b"".join(gzip.compress(record[i : i + MEMBER], 6, mtime=0) for i in range(0, len(record), MEMBER))
 
 
+def unzipped(data, step: int = 1 << 14) -> bytes:
+    """All members of a gzip file. It's read in small steps, as what a member leaves of its last step is copied."""
+    data, at, out = memoryview(data), 0, []
+    while at < len(data):
+        reader = zlib.decompressobj(31)
+        while not reader.eof:
+            if at >= len(data):
+                raise ValueError("the last member isn't whole")
+            out.append(reader.decompress(data[at : at + step]))
+            at += step
+        at = min(at, len(data)) - len(reader.unused_data)
+    return b"".join(out)
+
+
 def task() -> int:
     context = TaskContext.get()
     return context.partitionId() if context else 0
@@ -223,7 +238,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows: list = []
-                for fields, block in read_warc(gzip.decompress(data.as_buffer())):
+                for fields, block in read_warc(unzipped(data.as_buffer())):
                     kind = fields["warc-type"]
                     if kind not in ("response", "revisit"):
                         continue
