@@ -328,6 +328,8 @@ def test_the_method_decides_every_window(rows, words, monkeypatch):
     monkeypatch.setattr(R, "find_runs", lambda *a: real(*a) | {"ctx": np.zeros(len(real(*a)["js"]), np.uint64)})
     monkeypatch.setattr(R.Chunk, "window_hashes", lambda self, at: np.zeros(len(at), np.uint64))
     assert rounds(rows, spec, method) == want
+    monkeypatch.setattr(R.Hashes, "of", lambda self, first, size: np.zeros(len(first), np.uint64))
+    assert rounds(rows, spec, method) == want
     few = R.Spec(spec.k, spec.w, spec.words, spec.first, 2, 0, 0)  # all windows are dealt out, to one place
     assert rounds(rows, few, method) == want
     monkeypatch.setattr(R, "find_runs", lambda *a: real(*a) | {"ctx": np.zeros(len(real(*a)["js"]), np.uint64), "key": real(*a)["key"] & np.uint64(7 << 45)})

@@ -27,6 +27,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def rising(n: int) -> np.ndarray:
+    """BASE**i modulo 2**64 for i < n."""
+    have = _POWERS.get("r")
+    if have is None or len(have) < n:
+        have = np.full(max(1 << 12, n), BASE, U)
+        have[0] = 1
+        have = _POWERS["r"] = np.multiply.accumulate(have)
+    return have[:n]
+
+
 def byte_values() -> np.ndarray:
     """A fixed random 64-bit value for each byte."""
     if "t" not in _POWERS:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, joined, lean, mix, planes, powers, ranges, span_hashes, starts_of, unplanes, byte_values, word_spans
+from .arrays import U, joined, lean, mix, planes, powers, ranges, rising, span_hashes, starts_of, unplanes, byte_values, word_spans
 from .exchange import chunked, counts, sized
 
 LAST = np.iinfo(np.int64).max
@@ -339,12 +339,17 @@ def read_contexts(raw: bytes) -> tuple[dict, bytes]:
     return e, raw[4 + 10 * n + -(-n // 4) :]
 
 
-def substring_hashes(symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of size symbols from each place."""
-    pw, inverse = powers(len(symbols) + 1)
-    total = np.zeros(len(symbols) + 1, U)
-    np.cumsum(mix(symbols.astype(U) + U(1)) * pw[: len(symbols)], out=total[1:])
-    return (total[first + size] - total[first]) * inverse[first]
+class Hashes:
+    """Hashes of stretches of symbols, to be compared with each other only."""
+
+    def __init__(self, symbols: np.ndarray):
+        pw = rising(len(symbols) + 1)
+        self.total, self.lift = np.zeros(len(symbols) + 1, U), pw[::-1]
+        values = byte_values()[symbols] if symbols.dtype == np.uint8 else mix(symbols.astype(U) + U(1))
+        np.cumsum(values * pw[:-1], out=self.total[1:])
+
+    def of(self, first: np.ndarray, size) -> np.ndarray:
+        return (self.total[first + size] - self.total[first]) * self.lift[first]
 
 
 def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
@@ -358,11 +363,13 @@ def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
     size = nwin + spec.window - 1
     symbols, base = symbols_of(spec, b"".join(texts), size)
     del texts, bodies
+    hashes = Hashes(symbols)
     # the anchor, or the window that is dealt out
-    e["seg"] = substring_hashes(symbols, base + np.where(e["dealt"], 0, off), np.where(e["dealt"], spec.window, spec.k))
-    # equal contexts: those of one anchor (or window) at the same place, of the same size
-    by = np.lexsort((nwin, off, e["dealt"], e["seg"]))
-    segment = np.cumsum(starts_of(e["seg"][by], e["dealt"][by], off[by], nwin[by])) - 1
+    e["seg"] = hashes.of(base + np.where(e["dealt"], 0, off), np.where(e["dealt"], spec.window, spec.k))
+    # equal contexts: of the same size, with the anchor at the same place; hashes rule out the others
+    ctx, form = hashes.of(base, size), (off * 64 + nwin) * 2 + e["dealt"]
+    by = np.lexsort((form, ctx))
+    segment = np.cumsum(starts_of(ctx[by], form[by])) - 1
     alone = np.bincount(segment)[segment] == 1
     own = np.empty(len(by), np.int64)
     own[by[alone]] = np.arange(int(alone.sum()))
@@ -391,16 +398,16 @@ def answer_contexts(spec: Spec, classes: Callable, table: pa.Table) -> pa.Table:
         at = np.cumsum(nwin[r]) - nwin[r]  # where each context's windows are listed
         which = np.repeat(np.arange(len(r)), nwin[r])
         place = np.arange(len(which)) - at[which]
-        shift = off[r][which] - place + 64
-        by = np.lexsort((shift, e["seg"][r][which], e["dealt"][r][which]))
-        segment = np.cumsum(starts_of(e["seg"][r][which][by], shift[by], e["dealt"][r][which][by])) - 1
+        start = base[r][which] + place
+        form, win = (off[r][which] - place + 64) * 2 + e["dealt"][r][which], hashes.of(start, spec.window)
+        by = np.lexsort((form, win))
+        segment = np.cumsum(starts_of(win[by], form[by])) - 1
         alone = np.bincount(segment)[segment] == 1
         cls = np.empty(len(which), np.int64)
         cls[by[alone]] = np.arange(int(alone.sum()))
         rest = by[~alone]
         if len(rest):
-            first = base[r][which[rest]] + place[rest]
-            cls[rest] = classes(symbols, first, np.cumsum(starts_of(segment[~alone])) - 1, np.full(len(rest), spec.window)) + int(alone.sum())
+            cls[rest] = classes(symbols, start[rest], np.cumsum(starts_of(segment[~alone])) - 1, np.full(len(rest), spec.window)) + int(alone.sum())
         m = int(cls.max()) + 1
         if spec.first:
             least = np.full(m, LAST)

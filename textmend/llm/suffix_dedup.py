@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import U, byte_values, powers, ranges, starts_of
+from .arrays import U, byte_values, ranges, rising, starts_of
 from .repeats import Chunk, Spec, find_repeats
 
 
@@ -16,14 +16,14 @@ class Prefixes:
     """Prefix polynomial hashes of a text, and comparisons of its suffixes by them."""
 
     def __init__(self, text: np.ndarray):
-        pw, self.inverse = powers(len(text) + 1)
+        pw = rising(len(text) + 1)
         self.total = np.zeros(len(text) + 1, U)
-        np.cumsum(byte_values()[text] * pw[: len(text)], out=self.total[1:])
-        self.text = text
+        np.cumsum(byte_values()[text] * pw[:-1], out=self.total[1:])
+        self.text, self.lift = text, pw[::-1]  # hashes are compared at the text's end
 
     def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether so many bytes at a and b have equal hashes."""
-        return (self.total[a + size] - self.total[a]) * self.inverse[a] == (self.total[b + size] - self.total[b]) * self.inverse[b]
+        return (self.total[a + size] - self.total[a]) * self.lift[a] == (self.total[b + size] - self.total[b]) * self.lift[b]
 
     def common(self, a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> np.ndarray:
         """Common extension of the suffixes at a and b, up to depth, by binary search over hashes of prefixes; depth itself
