@@ -6,9 +6,9 @@ import os
 import time
 
 HEADLINE = [
-    "word_counts", "sentence_table", "fact_top_tokens", "length_coverage", "pool_funnel", "lexicon_counts", "lexicon_part_counts", "nearest_word", "nested_spans", "damage_plan",
+    "word_counts", "sentence_table", "fact_top_tokens", "length_coverage", "pool_funnel", "lexicon_counts", "lexicon_part_counts", "nearest_word", "near_words", "nested_spans", "damage_records", "repair_scores", "damage_plan",
     "draw_sample", "bootstrap_ci", "wilcoxon_ranks", "wrong_fact_rate", "holm_adjust", "first_per_group", "grid_means", "answer_parse", "html_unescape",
-    "op1_suffix_dedup", "op2_quality_rules", "op3_ngram_jaccard_join", "op4_substring_dedup", "op5_url_filters", "op6_html_extract", "op7_packing", "op8_warc", "op9_decontaminate",
+    "op1_suffix_dedup", "op2_quality_rules", "op3_ngram_jaccard_join", "op4_substring_dedup", "op5_url_filters", "op6_html_extract", "op7_packing", "op8_warc", "op9_decontaminate", "op10_toxicity", "pipeline",
 ]
 
 
