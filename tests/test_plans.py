@@ -78,3 +78,12 @@ def test_spread(spark, tmp_path):
     one = spark.read.parquet(str(tmp_path / "t"))
     assert one.rdd.getNumPartitions() == 1 and spread(one, "id", "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(one, "id").count() == 100
+
+
+def test_entry_needs_no_session_to_be_imported():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr

@@ -29,11 +29,11 @@ def _folder(spark: SparkSession) -> str:
     return folder
 
 
-def _texts(spark, sf, text=F.col("text")) -> str:
+def _texts(spark, sf, lower: bool = False) -> str:
     """The benchmark's items, a file each."""
     rows = _t(spark, sf, "benchmark").groupBy(F.col("item_id").cast("string").alias("name")).agg(F.first("text").alias("text"))
     folder = _folder(spark)
-    S.write_texts(rows.select("name", text.alias("text")), folder)
+    S.write_texts(rows.select("name", F.lower("text").alias("text") if lower else "text"), folder)
     return folder
 
 
@@ -48,7 +48,7 @@ def text_folder(spark, sf):
 
 @query(f"WITH {_ITEMS} SELECT doc_id, array_to_string({_NORMAL.format('text')}, ' ') AS gold, array_to_string({_NORMAL.format('lower(text)')}, ' ') AS other FROM items")
 def pair_scan(spark, sf):
-    return S.read_pairs(spark, _texts(spark, sf), _texts(spark, sf, F.lower("text")))
+    return S.read_pairs(spark, _texts(spark, sf), _texts(spark, sf, lower=True))
 
 
 @query(f"WITH {_ITEMS} SELECT doc_id, octet_length(encode(text)) AS length, sha256(replace(text, chr(13) || chr(10), chr(10))) AS sha256 FROM items")
