@@ -149,6 +149,36 @@ def test_near_words_are_all_found(spark):
     assert got == want
 
 
+def test_nearest_in_all_steps(spark):
+    """Against brute force: nearest entries within reach, within twice that and beyond, letters outside of ASCII among them."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(8)
+    letters = "abcdefghißéñ\U0001d11eŁ"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    words = sorted({word(rng.randrange(1, 13)) for _ in range(300)})
+    cores = sorted({word(rng.randrange(1, 15)) for _ in range(80)} | {words[5], words[9] + "zz", "w" * 20})
+    count = {w: i % 7 + 1 for i, w in enumerate(words)}
+    lex = spark.createDataFrame(list(count.items()), "word string, n long")
+    got = {r.core: (r.word, r.dist, r.ties, r.n) for r in X.nearest(spark.createDataFrame([(c,) for c in cores], "core string"), lex).collect()}
+    steps = set()
+    for c in cores:
+        dist = {w: distance(c, w) for w in words}
+        least = min(dist.values())
+        ties = [w for w in words if dist[w] == least]
+        best = min(ties, key=lambda w: (-count[w], w.encode()))
+        assert got[c] == (best, least, len(ties), count[best])
+        steps.add(0 if least <= 2 else 1 if least <= 4 else 2)
+    assert steps == {0, 1, 2} and len(got) == len(cores)
+
+
 def test_queries_search_the_whole_list(spark, tmp_path):
     from textmend.plans import queries as N
 

@@ -31,6 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
     return told or context.getCheckpointDir()
 
 
+_LEFT: set = set()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and read from the shared folder from now on; the session's part of it goes at its end."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint()
+    own = spark.sparkContext.getCheckpointDir()
+    if own and own not in _LEFT:
+        _LEFT.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return out
+
+
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     """All stored rows; none if nothing is stored yet."""
     try:
