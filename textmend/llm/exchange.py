@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmend.sources.store import shared_folder
+from textmend.sources.store import checkpointed, shared_folder  # noqa: F401 (for the operators)
 
 
 def sized(docs: DataFrame, text: str) -> int:
@@ -23,22 +23,6 @@ def counts(total: int, chunk_bytes: int, bucket_bytes: int) -> tuple[int, int]:
     return max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
 
 
-_LEFT: set = set()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from the shared folder from now on; the session's part of it goes at its end."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    out = df.checkpoint()
-    own = spark.sparkContext.getCheckpointDir()
-    if own and own not in _LEFT:
-        _LEFT.add(own)
-        path = spark._jvm.org.apache.hadoop.fs.Path(own)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return out
-
-
 def summed(df: DataFrame, count, size: int):
     """The sum of count(batch), a vector of size numbers, over all rows; df's first column is a text. Each task sums up
     its own rows. The tasks' vectors are added in 8 parts and in levels, at most 256 of them at once, so no task's input
