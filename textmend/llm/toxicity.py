@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrays import U, joined, lean, lower_ascii, mix, pieces, ranges, span_hashes, word_spans
+from .exchange import checkpointed
 
 WINDOW, STRIDE = 32, 24  # words
 HIDDEN, INPUT = 8, 8
 SLOTS = 1 << 15
 GRAMS = (3, 4, 5)
 #: Training sees at most so many labelled documents of class 0 and of class 1, those with the smallest hashes of their ids,
-#: and of each at most so many windows, evenly spread.
+#: and of each at most so many windows, evenly spread, or the highest of a long toxic one.
 MOST_DOCS, MOST_WINDOWS = (1000, 600), 64
 EPOCHS, RATE, SEED = 24, 0.03, 7
 
@@ -318,9 +319,10 @@ def is_held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: tuple[int, int] = MOST_DOCS, most_windows: int = MOST_WINDOWS) -> dict:
     """Trains on a bounded sample of labelled rows, none of them held out. Rows without an id or a label aren't used.
 
-    The driver trains the network on windows of these rows, most_windows of a row at most, evenly spread (so of a long toxic
-    row the one window that makes it toxic may be left out). The scale of the scores is then fitted on all windows of all
-    these rows, where the texts are."""
+    The driver trains the network on windows of these rows, most_windows of a row at most, evenly spread. Where a toxic row
+    has more, the one that makes it toxic may be left out; so the network so trained then judges all windows of these rows,
+    and a second one is trained with their most_windows highest. The scale of the scores is fitted on all windows of all
+    these rows, where the texts are. The rows' texts are written to the shared folder, so documents are read once."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
     known = known.where(~is_held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     sample = None
@@ -328,20 +330,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(most_docs[v])
         sample = part if sample is None else sample.unionAll(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
-
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                words = (t or "").split()
-                n = max(1, -(-(len(words) - (WINDOW - STRIDE)) // STRIDE))
-                take = range(n) if n <= most_windows else [i * n // most_windows for i in range(most_windows)]
-                out.append([" ".join(words[i * STRIDE : i * STRIDE + WINDOW]) for i in take])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.string()))], names=["id", "label", "windows"])
-
-    rows = texts.select(F.col("id").cast("string").alias("id"), "text", "label").mapInArrow(cut, "id string, label int, windows array<string>").collect()
-    rows.sort(key=lambda r: (r.id, r.windows))
+    texts = checkpointed(texts.select(F.col("id").cast("string").alias("id"), "text", "label"))
+
+    def windows(model: dict | None) -> list:
+        """id, label, n (how many there are) and windows of each row."""
+
+        def cut(batches):
+            lean()
+            for batch in batches:
+                n, out = [], []
+                for t, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    words = (t or "").split()
+                    n.append(max(1, -(-(len(words) - (WINDOW - STRIDE)) // STRIDE)))
+                    take = range(n[-1]) if n[-1] <= most_windows else [i * n[-1] // most_windows for i in range(most_windows)]
+                    part = lambda i: " ".join(words[i * STRIDE : i * STRIDE + WINDOW])  # noqa: B023, E731
+                    if n[-1] > most_windows and label and model:
+                        known = Vectors()
+                        score = np.concatenate([highest(model, pa.array([part(i) for i in range(a, min(a + 4096, n[-1]))], pa.large_string()), known) for a in range(0, n[-1], 4096)])
+                        take = sorted(np.argsort(-score, kind="stable")[:most_windows].tolist())
+                    out.append([part(i) for i in take])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["id", "label", "n", "windows"])
+
+        rows = texts.mapInArrow(cut, "id string, label int, n long, windows array<string>").collect()
+        return sorted(rows, key=lambda r: (r.id, r.windows))
+
+    rows = windows(None)
     model = train([r.windows for r in rows], np.array([r.label for r in rows], np.int64))
+    if any(r.label and r.n > most_windows for r in rows):
+        rows = windows(model)
+        model = train([r.windows for r in rows], np.array([r.label for r in rows], np.int64))
 
     def judge(batches):
         lean()
