@@ -238,34 +238,6 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in X.score_texts(nothing, pa.array(["a b", None])))
 
 
-def test_long_toxic_rows_are_trained_on_their_highest_windows(spark, monkeypatch):
-    """Few of the long rows' evenly spread windows hold what makes them toxic; those of the second training nearly all do."""
-    rng = random.Random(2)
-    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
-    docs, labels = [], []
-    for i in range(240):
-        w = [rng.choice(vocab) for _ in range(240)]
-        if i % 2:
-            at = rng.randrange(230)
-            w[at : at + 3] = ["vile", "filth", "scorn"]
-        docs.append((i, " ".join(w)))
-        labels.append((i, i % 2))
-    seen = []
-    train = X.train
-
-    def spy(texts, toxic, *args):
-        seen.append(np.mean([any("filth" in w for w in t) for t, y in zip(texts, toxic) if y]))
-        assert all(len(t) == 3 for t in texts)
-        return train(texts, toxic, *args)
-
-    monkeypatch.setattr(X, "train", spy)
-    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = X.fit(df, lab, most_windows=3)
-    assert len(seen) == 2 and seen[0] < 0.6 and seen[1] > 0.95
-    rows = X.score_toxicity(df, model).withColumn("held", X.is_held_out(F.col("doc_id"))).where("held").collect()
-    assert sum((r.score >= 0.5) == bool(r.doc_id % 2) for r in rows) >= 0.95 * len(rows)
-
-
 def test_windows_cover_all_words():
     for n in (0, 1, 31, 32, 33, 56, 57, 500):
         first, size, owner = X.windows_of(np.array([5]), np.array([5 + n]))
