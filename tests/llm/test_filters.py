@@ -158,6 +158,20 @@ def test_url_rules(spark):
     assert (rows[10].host, rows[10].path) == ("y:", "//z/q") and (rows[11].host, rows[11].path) == ("example.net", "")
 
 
+def test_rules_are_the_contracts(spark):
+    """Each rule's word, in the code and in the SQL, whatever the method says of the host."""
+    want = {"a.com/en/1": "block", "example.com/en/70": "allow", "a.net/de/": "allow", "example.net/de/8": "block", "b.example.net/de/81": "block", "example.net/de/9": "allow", "x.org/es/y": "block"}
+    rows = [(i, f"http://{u}") for i, u in enumerate(want)]
+    for bad in (0, 1):
+        pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, bad) for i, _ in rows], "page_id long, bad int")
+        assert [r.verdict for r in U.url_filter(pages, U.RULES, labels).orderBy("page_id").collect()] == list(want.values())
+        with pytest.importorskip("duckdb").connect() as db:
+            db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR); CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+            db.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+            db.executemany("INSERT INTO labels VALUES (?, ?, 0)", [(i, 1 - bad) for i, _ in rows])
+            assert [r[4] for r in sorted(db.execute(U.SQL).fetchall())] == list(want.values())
+
+
 def test_reputation(spark):
     rows = [(i, f"http://bad{i % 5}.spam.com/") for i in range(100)] + [(100 + i, f"http://h{i % 20}.good{i % 4}.org/") for i in range(200)] + [(400, "http://new.spam.com/"), (401, "http://one.other.org/"), (402, "http://a.co.uk/"), (None, "http://a.co.uk/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
