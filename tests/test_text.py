@@ -125,3 +125,12 @@ def test_hash_places(spark):
     want = sorted(rows, key=lambda x: (hashlib.sha256(f"7:x:{x}".encode()).hexdigest(), x))
     assert [r.doc for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 1001))
     assert hash_places(df.limit(0), hash_key(7, F.col("doc"))).count() == 0
+
+
+def test_unescape_closed(spark):
+    """A text cut off in a reference keeps it; unescape reads it as HTML does."""
+    from textmend.sources import corpus as S
+
+    told = {"a &amp; b": ("a & b",) * 2, "x = &quot": ("x = &quot", 'x = "'), "&quotx;": ("&quotx;", '"x;'), "&amp": ("&", "&"), "&ampquot;": ("&quot;",) * 2, "&amp;quot;": ("&quot;",) * 2, "&#65;&#x42;&copy;": ("AB©",) * 2, "&#65": ("&#65", "A"), "&am": ("&am",) * 2, None: (None, None)}
+    rows = spark.createDataFrame([(k,) for k in told], "t string").select("t", S.unescape_closed("t"), S.unescape("t")).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == told
