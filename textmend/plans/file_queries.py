@@ -147,7 +147,7 @@ def latex_table(spark, sf):
 def store_resume(spark, sf):
     """The runner over all sentences at the lowest level: half of the documents, then all, then all again. Each row is asked
     for once, the test split is closed, and keys that are stored are refused."""
-    damage, path = _damage(spark, sf).where("severity in ('0', '1w')"), f"{_folder(spark)}/store"
+    damage, path = Z.checkpointed(_damage(spark, sf).where("severity in ('0', '1w')")), f"{_folder(spark)}/store"
     calls = spark.sparkContext.accumulator(0)
 
     def predict(view: dict) -> dict:
