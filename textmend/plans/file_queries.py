@@ -315,10 +315,10 @@ def answer_faults(spark, sf):
 
 
 def _predictions(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Damage and two methods' answers: the words as they were, and as they are."""
-    d = _damage(spark, sf)
+    """Damage, written once for its four readers, and two methods' answers: the words as they were, and as they are."""
+    d = Z.checkpointed(_damage(spark, sf).where("k > 0"))
     plans = L.by_place(F.col("ops_per_word"))
-    one = lambda name, field: d.where("k > 0").select("id", "severity", F.lit(name).alias("method"), F.transform(plans, lambda p: p[field]).alias("pred_words"))
+    one = lambda name, field: d.select("id", "severity", F.lit(name).alias("method"), F.transform(plans, lambda p: p[field]).alias("pred_words"))
     return d, one("gold", "gold").unionAll(one("damaged", "out"))
 
 
