@@ -1,9 +1,12 @@
 """How often rows that are dear to make are made, and that no task takes more than its part."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from textmend.functions import text as T
 from textmend.operators import damage as D
+from textmend.operators import lexicon as X
 from textmend.operators import pool as P
 from textmend.schemas import SENTENCE
 from textmend.sources import store as Z
@@ -84,3 +87,43 @@ def test_run_method_makes_damage_once(spark, tmp_path):
     run = lambda: Z.run_method(counted(d, made), lambda v: {"pred_words": ["x"] * v["k"]}, "m", "1", "none", str(tmp_path / "s"))
     assert run() == 40 and made.value <= 80  # the look for test rows, and the rows themselves
     assert run() == 0
+
+
+def test_far_words_meet_few_entries(spark):
+    """Of the pairs of cores and entries few are compared, each core's nearest among them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+    words = [word() for _ in range(3000)]
+    cores = sorted({"#" + w[1:4] + w[5:8] + "##" + w[9] for w in words[:50]})  # four edits away
+    lex = spark.createDataFrame([(w, 1) for w in words], "word string, n long").repartition(3)
+    for short in (16, 9):  # by what is left, and by lengths and letters
+        (plan,) = X._alike(spark.createDataFrame([(c,) for c in cores], "core string"), lex, 4, short)
+        assert "CartesianProduct" not in (told := plan._jdf.queryExecution().toString()) and "NestedLoop" not in told
+        assert {(r.core, r.word) for r in plan.collect()} >= {(c, w) for c, w in zip(("#" + w[1:4] + w[5:8] + "##" + w[9] for w in words[:50]), words)}
+    index = X._Cores(cores, 4, 16)
+    assert sum(len(c) for c, _ in index.pairs(words)) < 0.02 * len(cores) * len(words)
+
+
+def test_search_in_blocks(spark):
+    """Blocks of cores and parts of the list change nothing; letters beyond those of the list, one word far longer, an empty core."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    words = sorted({word(rng.randrange(1, 20)) for _ in range(400)} | {"q" * 300})
+    cores = sorted({word(rng.randrange(1, 24)) for _ in range(40)} | {"", "q" * 290 + "x", "xyzxyzxyzxyzx"})
+    lex = spark.createDataFrame([(w, 1) for w in words], "word string, n long").repartition(3)
+    df = spark.createDataFrame([(c,) for c in cores], "core string")
+
+    def least(parts):
+        rows = [r for p in parts for r in p.collect()]
+        best = {c: min((r.dist for r in rows if r.core == c), default=None) for c in cores}
+        return {(r.core, r.word, r.dist) for r in rows if r.dist == best[r.core]}
+
+    pairs = df.crossJoin(lex).withColumn("dist", F.levenshtein("core", "word"))
+    want = least([pairs])
+    assert least(X._far(df, lex)) == want
+    parts = list(X._far(df, lex, 200))
+    assert len(parts) > 1
+    for reach in (1, 2, 3, 5):
+        near = {(r.core, r.word, r.dist) for r in pairs.where(F.col("dist") <= reach).collect()}
+        for short, block in ((16, 1 << 20), (6, 1 << 20), (16, 5000)):
+            assert {(r.core, r.word, r.dist) for p in X._alike(df, lex, reach, short, block) for r in p.collect()} == near
